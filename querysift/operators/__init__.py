@@ -1,0 +1 @@
+"""operators of the query-log diagnosis engine."""

@@ -1,0 +1 @@
+"""plans of the query-log diagnosis engine."""

@@ -1,0 +1 @@
+"""sources of the query-log diagnosis engine."""

@@ -1,0 +1 @@
+"""streaming of the query-log diagnosis engine."""

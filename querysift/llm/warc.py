@@ -29,7 +29,7 @@ from .common import settled, shared_dir
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1\r\n"
 #: An archive ends with the record that passes this size; the reader's ranges; most tasks that read.
 ARCHIVE_BYTES, RANGE_BYTES, READ_TASKS = 256 << 20, 4 << 20, 20_000
-_READ_AT_ONCE = 1 << 18
+_READ_AT_ONCE, _LOOKED_AT_AT_ONCE = 1 << 20, 1 << 13
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
@@ -117,11 +117,11 @@ class _Window:
         self.file, self.at, self.held = file, 0, b""
 
     def from_(self, place: int) -> bytes:
-        """What is held from `place` on; more of the file where that is nothing."""
-        if not self.at <= place < self.at + len(self.held):
+        """Some bytes from `place` on: at least as many as the magic has, but at the file's end."""
+        if not self.at <= place <= self.at + len(self.held) - len(MAGIC):
             self.file.seek(place)
             self.at, self.held = place, self.file.read(_READ_AT_ONCE)
-        return self.held[place - self.at :]
+        return self.held[place - self.at : place - self.at + _LOOKED_AT_AT_ONCE]
 
 
 def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
@@ -148,7 +148,7 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:
         part = window.from_(place)
         found = part.find(MAGIC)
         if found < 0:
-            place += max(1, len(part) - len(MAGIC) + 1)
+            place += max(1, len(part) - len(MAGIC) + 1)  # a magic may begin in the last bytes
         elif place + found >= end:
             return
         elif got := _member(window, place + found):

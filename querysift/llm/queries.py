@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard, langid, packing, topk, warc
-from .common import table
+from . import byte_bpe, chat, jaccard, langid, packing, quality_rules, secret_scan, topk, warc
+from .common import settled, table
 
 RANKS, DEFINITION = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -19,6 +19,13 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    featured = settled(quality_rules.features(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "__rules"))
+    judged = quality_rules.verdicts(featured, quality_rules.references(featured))
+    return judged.select("doc_id", "__rules.n_words", "__rules.word_chars", "__rules.n_symbols", "__rules.n_dup_lines", "__rules.n_repeat_words", "base_failed", "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -57,14 +64,28 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("__spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
     "op1_top_k": """

@@ -1,26 +1,74 @@
-"""A corpus cleaned and packed in stages. Each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus cleaned and packed in stages. Each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All stages but the last return the columns of `docs`. Rows without an id pass the near-duplicate stage, since no
+link can name them; every other case is told in the operators' docstrings.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querysift.llm import packing
-from querysift.llm.common import settled, table
+from querysift.llm import jaccard, packing, quality_model, quality_rules, secret_scan
+from querysift.llm.common import settled, shared_dir, table
 from querysift.llm.queries import DEFINITION
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of good quality, from text and site, reaches the limit."""
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return scored.where(F.col("__score") >= quality_model.KEEP_FROM).select(*docs.columns)
+
+
+def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and stay near a language reference."""
+    featured = quality_rules.features(docs)
+    found = quality_rules.references(settled(featured.select("lang", "__rules")))
+    return quality_rules.verdicts(featured, found).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8)."""
+    groups = settled(jaccard.join(docs, words=5, percent=80))
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    unnamed = kept.where("doc_id is null")  # repeated rows count once; those without an id all stay
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as tokens, packed into sequences of at most 2048."""
     return packing.pack(packing.pieces_of(docs, public_tokenizers.path(DEFINITION), 2048), 2048)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rule_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_redaction),
+    ("best-fit packing", best_fit_packing),
+]
+#: A fitted classifier and a tokenizer's ids are beyond SQL; tests/llm compares run() with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on `documents`; each one's result is written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else settled(docs), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard, langid, packing, quality_rules, secret_scan, topk, warc
+from . import byte_bpe, chat, jaccard, langid, packing, quality_model, quality_rules, secret_scan, topk, warc
 from .common import settled, table
 
 RANKS, DEFINITION = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -53,6 +53,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of good quality; hosts are the sources, paths the languages in them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source", "lang")
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return scored.select("doc_id", F.col("__p").alias("text_score"), F.col("__score").alias("score"), (F.col("__score") >= quality_model.KEEP_FROM).alias("kept"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to WARC archives and read back."""
     records = warc.through_archives(spark, table(spark, sf_dir, "pages"))
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
+    "op7_quality_model": op7_quality_model,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,

@@ -101,6 +101,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     made = F.struct(
         F.col("__w.n_words").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), F.get("__classes", F.lit(0)).alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
         F.col("__w.n_repeat_words").alias("n_repeat_words"), rest(F.length(joined), F.col("__classes")).alias("classes"), rest(F.col("__s.n"), F.col("__counts")).alias("common"),
+        # Not deterministic, so the optimizer does not copy all this into each filter above.
+        F.monotonically_increasing_id().alias("row"),
     )
     return second.withColumn("__rules", made).drop("__w", "__dup", "__s", "__classes", "__counts")
 

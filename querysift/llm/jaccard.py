@@ -7,11 +7,12 @@ passages stay out of the prefixes. Work goes in steps, none of which makes all p
 
 1. Tokens are counted in cells by hash; a broadcast bitmap (its size bounded) tells the crowded cells. It only
    shapes the orders: any order gives the same result.
-2. Documents of equal sets become one class, with a prefix for each order.
-3. Classes that share a prefix token of the first order meet at the smallest class with that token; one meeting
-   place holds all classes of many tokens. There pairs must pass the length filter and, in every order, the
-   prefix filter. Spanning edges of the pairs that pass give clusters of candidates.
-4. The texts of candidates go to their cluster, once each, where overlaps are counted exactly.
+2. Documents of equal sets become one class, with its prefix in the first order.
+3. Classes that share a token of these prefixes meet at the smallest class with that token; one meeting place
+   holds all classes of many tokens, less those without another of similar size. There pairs must pass the
+   length filter and the first order's prefix filter. Spanning edges of those that pass give clusters.
+4. The texts of candidates go to their cluster, once each. There pairs must pass the prefix filters of the other
+   orders as well; then their whole sets are compared.
 5. Spanning edges of the linked pairs give the components.
 
 Meeting places and clusters beyond BLOCK members are cut into blocks, and each pair of blocks is a task.
@@ -31,7 +32,8 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -127,38 +129,36 @@ def crowded_cells(docs: DataFrame, words: int, n_docs: int) -> np.ndarray:
     return out
 
 
-def _documents(docs: DataFrame, words: int, percent: int, orders: int, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, set_id (16 bytes that stand for the set), n_shingles and the prefixes by order, packed."""
-    crowded = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _documents(docs: DataFrame, words: int, percent: int, crowded: Broadcast) -> DataFrame:
+    """doc_id, set_id (16 bytes that stand for the set), n_shingles and the packed prefix in the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, sizes, prefixes = [], [], []
+            sets, sizes, heads = [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), words)
                 sizes.append(len(tokens))
                 sets.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                prefixes.append(b"".join(_prefix(tokens, crowded.value, k, percent).tobytes() for k in range(orders)) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], names=["doc_id", "set_id", "n_shingles", "prefixes"])
+                heads.append(_prefix(tokens, crowded.value, 0, percent).tobytes() if len(tokens) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "set_id", "n_shingles", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, n_shingles long, prefixes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, n_shingles long, prefix binary")
 
 
-def _first_tokens(classes: DataFrame, orders: int) -> DataFrame:
-    """cls and token: a row for each prefix token of the first order."""
+def _first_tokens(classes: DataFrame) -> DataFrame:
+    """cls and token: a row for each prefix token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-            own = [x[: len(x) // orders] for x in own]
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
             tokens = np.concatenate(own)
             for i in range(0, len(ids), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 17)]), pa.array(tokens[i : i + (1 << 17)])], names=["cls", "token"])
 
-    return classes.select("cls", "prefixes").mapInArrow(run, "cls long, token long")
+    return classes.select("cls", "prefix").mapInArrow(run, "cls long, token long")
 
 
 def _united(n: int, pairs: Iterator[tuple[int, int]], test=lambda a, b: True) -> list[tuple[int, int]]:
@@ -201,15 +201,12 @@ def _long_enough(a: int, b: np.ndarray, shared: np.ndarray, percent: int) -> np.
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _may_link(x: list[np.ndarray], y: list[np.ndarray], a: int, b: int, percent: int) -> bool:
-    """Whether two sets of a and b tokens can reach the similarity, by their prefixes in every order."""
-    for u, v in zip(x, y, strict=True):
-        last = min(u[-1], v[-1])  # up to here both sets are known
-        nu, nv = int(np.searchsorted(u, last, "right")), int(np.searchsorted(v, last, "right"))
-        shared = len(np.intersect1d(u[:nu], v[:nv], assume_unique=True))
-        if not shared or not _long_enough(a, b, shared + min(a - nu, b - nv), percent):
-            return False
-    return True
+def _may_link(u: np.ndarray, v: np.ndarray, a: int, b: int, percent: int) -> bool:
+    """Whether sets of a and b tokens can reach the similarity, by their prefixes in one order."""
+    last = min(u[-1], v[-1])  # up to here both sets are known
+    nu, nv = int(np.searchsorted(u, last, "right")), int(np.searchsorted(v, last, "right"))
+    shared = len(np.intersect1d(u[:nu], v[:nv], assume_unique=True))
+    return shared > 0 and bool(_long_enough(a, b, shared + min(a - nu, b - nv), percent))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -271,43 +268,48 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, orders: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, words: int = 4, percent: int = 85, orders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the smallest id that links of at least `percent`
     hundredths reach from it, its own included."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    bitmap = crowded_cells(docs, words, docs.count())
-    found = settled(_documents(docs, words, percent, orders, bitmap))
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_cells(docs, words, docs.count()))
+    found = settled(_documents(docs, words, percent, crowded))
     sets = found.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
-    classes = found.join(sets, "set_id").where("doc_id = cls").dropDuplicates(["set_id"]).select("cls", F.struct("n_shingles", "prefixes").alias("own"), "prefixes")
-    classes = settled(classes)
-    candidates = settled(_candidates(classes, percent, orders))
-    clusters = components(candidates)
-    links = _verified(docs, clusters, words, percent)
-    named = components(links)
+    classes = found.join(sets, "set_id").where("doc_id = cls").dropDuplicates(["set_id"]).select("cls", "n_shingles", "prefix")
+    clusters = components(_candidates(settled(classes), percent))
+    named = components(_verified(docs, clusters, words, percent, orders, crowded))
     reached = sets.join(named, sets.cls == named.node, "left").select("set_id", F.coalesce("component", "cls").alias("component"))
-    return found.join(reached, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "set_id").join(reached, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _candidates(classes: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Spanning edges of the pairs of classes that pass the filters of all orders."""
-    tokens = _first_tokens(classes, orders).repartition("token")
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges of the pairs of classes that pass the filters of length and of the first order."""
+    tokens = _first_tokens(classes).repartition("token")
     meeting = tokens.groupBy("token").agg(F.min("cls").alias("place"), F.count("*").alias("n")).where("n > 1").select("token", "place")
-    members = settled(tokens.join(meeting, "token").select("place", "cls").distinct())
-    rows = _in_blocks(members, "place").join(classes.select("cls", "own").withColumnRenamed("own", "set"), "cls")
+    members = tokens.join(meeting, "token").select("place", "cls").distinct().join(classes.select("cls", "n_shingles"), "cls")
+    by_size = Window.partitionBy("place").orderBy("n_shingles", "cls")
+    near = (100 * F.lag("n_shingles").over(by_size) >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.lead("n_shingles").over(by_size))
+    members = settled(members.withColumn("near", near).where("near").select("place", "cls"))
+    own = classes.select("cls", F.struct("n_shingles", "prefix").alias("set"))
+    rows = _in_blocks(members, "place").join(own, "cls")
 
     def link(ids: list[int], payloads: list, split: int | None) -> list[tuple[int, int]]:
         sizes = np.array([x["n_shingles"] for x in payloads])
-        prefixes = [np.split(np.frombuffer(x["prefixes"], _U), orders) for x in payloads]
-        left, right = _sides(len(ids), split)
-
-        shared = _overlaps([p[0] for p in prefixes], left, right)
-        pairs = ((i, j) for i, others, _ in shared for j in others[_long_enough(sizes[i], sizes[others], np.minimum(sizes[i], sizes[others]), percent)].tolist())
-        return _united(len(ids), pairs, lambda i, j: _may_link(prefixes[i], prefixes[j], int(sizes[i]), int(sizes[j]), percent))
+        heads = [np.frombuffer(x["prefix"], _U) for x in payloads]
+        pairs = _similar_in_size(_overlaps(heads, *_sides(len(ids), split)), sizes, percent)
+        return _united(len(ids), pairs, lambda i, j: _may_link(heads[i], heads[j], int(sizes[i]), int(sizes[j]), percent))
 
     return _edges(rows, "place", "set", link)
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+def _similar_in_size(shared: Iterator, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """The pairs of _overlaps that pass the length filter."""
+    for i, others, _ in shared:
+        for j in others[100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])].tolist():
+            yield i, j
+
+
+def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int, orders: int, crowded: Broadcast) -> DataFrame:
     """Spanning edges of the pairs in each cluster that are similar enough, by their whole sets."""
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("cls"))
     rows = _in_blocks(members, "cluster").join(docs.withColumnRenamed("doc_id", "cls"), "cls")
@@ -315,8 +317,14 @@ def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     def link(ids: list[int], payloads: list, split: int | None) -> list[tuple[int, int]]:
         sets = [shingles(x, words) for x in payloads]
         sizes = np.array([len(x) for x in sets])
-        left, right = _sides(len(ids), split)
-        pairs = ((i, j) for i, others, shared in _overlaps(sets, left, right) for j in others[_long_enough(sizes[i], sizes[others], shared, percent)].tolist())
-        return _united(len(ids), pairs)
+        heads = [[_prefix(x, crowded.value, k, percent) for x in sets] for k in range(1, orders)]
+
+        def similar(i: int, j: int) -> bool:
+            if not all(_may_link(h[i], h[j], int(sizes[i]), int(sizes[j]), percent) for h in heads):
+                return False
+            return bool(_long_enough(sizes[i], sizes[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True)), percent))
+
+        pairs = _similar_in_size(_overlaps(heads[0] if heads else sets, *_sides(len(ids), split)), sizes, percent)
+        return _united(len(ids), pairs, similar)
 
     return _edges(rows, "cluster", "text", link)

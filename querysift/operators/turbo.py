@@ -7,6 +7,7 @@ from collections import OrderedDict
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lifecycle(accesses: DataFrame, validations: int = 3) -> DataFrame:
@@ -64,4 +65,4 @@ def replay(accesses: DataFrame, max_size: int = 1024, validations: int = 3) -> D
             held.append(len(entries))
         return rows.sort_values("seq").assign(state=out, held=held)
 
-    return accesses.groupBy("process_id").applyInPandas(run, accesses.schema.add("state", "string").add("held", "int"))
+    return accesses.groupBy("process_id").applyInPandas(run, T.StructType([*accesses.schema.fields, T.StructField("state", T.StringType()), T.StructField("held", T.IntegerType())]))

@@ -55,7 +55,7 @@ def _finding(order: int, kind: str, severity: str, text: str, fix: str, grouped:
 
 _WRITE_FIX = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in write_nplusone.FIXES.items()) + " END"
 CTES = {
-    "caps": f"""SELECT user_id AS scope_id, event_id AS seq, ts AS at, '/r/' || (user_id % 20) || '/' AS endpoint, 'app' || (user_id % 4) AS app_name, {EVENT_SQL} AS raw, value AS ms,
+    "caps": f"""SELECT user_id AS scope_id, event_id AS seq, ts AS captured, '/r/' || (user_id % 20) || '/' AS endpoint, 'app' || (user_id % 4) AS app_name, {EVENT_SQL} AS raw, value AS ms,
   CASE WHEN event_id % 17 <> 0 THEN 'app' || (user_id % 4) || '/views.py' END AS file_path, CASE WHEN event_id % 17 <> 0 THEN (100 + k % 5)::INTEGER END AS line, CASE WHEN event_id % 17 <> 0 THEN {CODE_SQL} END AS code
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)""",
     "norm": f"SELECT *, {_normalized('raw')} AS n FROM caps",
@@ -189,7 +189,7 @@ BODIES: dict[str, str] = {
     "project_overall": f"SELECT sum(urls)::BIGINT AS urls, sum(queries)::BIGINT AS queries, sum(issues)::BIGINT AS issues, coalesce(avg(health), 100.0) AS health, CASE WHEN coalesce(avg(health), 100.0) >= 80 THEN 'green' WHEN coalesce(avg(health), 100.0) >= 60 THEN 'amber' ELSE 'red' END AS color FROM ({_APPS})",
     "ci_annotations": "SELECT scope_id, '::' || CASE severity WHEN 'critical' THEN 'error' ELSE 'warning' END || ' file=' || coalesce(file_path, '') || ',line=' || coalesce(line_number, 0) || '::' || description AS annotation FROM findings",
     "admin_last50": """SELECT scope_id, recorded_at, total_queries, coalesce(issues, 0) AS issues, row_number() OVER (ORDER BY recorded_at DESC, scope_id)::INTEGER AS place
-  FROM (SELECT scope_id, max(at) AS recorded_at, count(*) AS total_queries FROM cq GROUP BY scope_id ORDER BY recorded_at DESC, scope_id LIMIT 50) LEFT JOIN (SELECT scope_id, count(*) AS issues FROM findings GROUP BY scope_id) USING (scope_id)""",
+  FROM (SELECT scope_id, max(captured) AS recorded_at, count(*) AS total_queries FROM cq GROUP BY scope_id ORDER BY recorded_at DESC, scope_id LIMIT 50) LEFT JOIN (SELECT scope_id, count(*) AS issues FROM findings GROUP BY scope_id) USING (scope_id)""",
     "workload_shape": "SELECT count(*) FILTER (WHERE is_select) AS selects, count(*) FILTER (WHERE NOT is_select) AS writes, count(DISTINCT fp) AS fingerprints, count(DISTINCT file_path || ':' || line) AS callsites FROM cq",
     "turbo_lifecycle": "SELECT process_id, seq, n::INTEGER AS n, state FROM lived",
     "turbo_stats": """SELECT process_id, hits, misses, round(hits / greatest(1, hits + misses), 6) AS hit_rate, evictions, trusted_hits FROM (SELECT process_id, count(*) FILTER (WHERE state <> 'miss') AS hits, count(*) FILTER (WHERE state = 'miss') AS misses,

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokenization
 from .common import settled
@@ -98,4 +99,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIEC
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="__group").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
-    return dealt.groupBy("__group").applyInPandas(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return dealt.groupBy("__group").applyInPandas(run, T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -195,6 +195,10 @@ BODIES: dict[str, str] = {
     "turbo_stats": """SELECT process_id, hits, misses, round(hits / greatest(1, hits + misses), 6) AS hit_rate, evictions, trusted_hits FROM (SELECT process_id, count(*) FILTER (WHERE state <> 'miss') AS hits, count(*) FILTER (WHERE state = 'miss') AS misses,
   count(*) FILTER (WHERE state = 'poison') AS evictions, count(*) FILTER (WHERE state = 'trusted') AS trusted_hits FROM lived GROUP BY process_id)""",
     "turbo_top20": "SELECT process_id, fp AS fingerprint, count(*) AS hit_count, min(substr(raw, 1, 200)) AS preview FROM lived WHERE state IN ('validate', 'trusted') GROUP BY ALL ORDER BY hit_count DESC, process_id, fp LIMIT 20",
+    "gate_sampled": "SELECT scope_id, seq FROM cq WHERE ('0x' || substr(md5(scope_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.5 AND NOT starts_with(endpoint, '/r/1')",
+    "project_urls": """SELECT endpoint, app_name, array_to_string(m, ',') AS methods, CASE WHEN NOT list_contains(m, 'POST') THEN 'method' END AS skip_reason FROM (
+  SELECT endpoint, min(app_name) AS app_name, list_sort(list(DISTINCT CASE WHEN is_select THEN 'GET' ELSE 'POST' END)) AS m FROM cq GROUP BY endpoint) WHERE NOT starts_with(endpoint, '/r/5')""",
+    "duration_percentiles": "SELECT is_select, quantile_disc(ms, 0.1) AS p10, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90 FROM cq GROUP BY is_select",
     "slow_queries": "SELECT scope_id, seq, ms AS duration_ms FROM cq WHERE ms > 100",
 }
 ORACLES: dict[str, str] = {k: _with(v) for k, v in BODIES.items()} | workload.SQL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import sql_text
 from .operators import complexity, duplicate, fat_select, findings, missing_index, nplusone, queryset_eval, turbo, write_nplusone
-from .plans import report, workload
+from .plans import gate, report, workload
 from .plans.enrich import enrich
 from .plans.pipeline import diagnose
 from .sources import captures
@@ -150,5 +150,8 @@ QUERIES: dict[str, Query] = {
     "turbo_stats": _on_captures(lambda c, s: turbo.stats(turbo.lifecycle(_accesses(c)))),
     "turbo_top20": _on_captures(lambda c, s: turbo.top_entries(turbo.lifecycle(_accesses(c)))),
     "turbo_replay": _on_captures(_replay),
+    "gate_sampled": _on_captures(lambda c, s: gate.admitted(c, {"SAMPLE_RATE": 0.5, "IGNORE_URLS": ["/r/1"]}).select("scope_id", "seq")),
+    "project_urls": _on_captures(lambda c, s: gate.selected(gate.endpoints(c), ["POST"], ["/r/5"]).select("endpoint", "app_name", F.array_join("methods", ",").alias("methods"), "skip_reason")),
+    "duration_percentiles": _on_captures(lambda c, s: gate.durations(c)),
     "slow_queries": _on_captures(lambda c, s: c.where("duration_ms > 100").select("scope_id", "seq", "duration_ms")),
 } | workload.PLANS

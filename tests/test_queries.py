@@ -88,3 +88,22 @@ def test_empty_log(spark):
     found = diagnose(nothing, Catalog(spark))
     assert found.count() == 0 and report.scope_report(nothing, found).count() == 0
     assert report.project_overall(report.project_apps(nothing, found)).first().health == 100.0
+
+
+def test_sinks(spark, tmp_path):
+    import logging
+
+    from querysift import queries
+    from querysift.plans import sinks
+
+    found = queries.found(spark, SF)
+    text, page = sinks.console(found, 5), sinks.html(found, "<x>", 5)
+    assert text.count("fix: ") == 5 and "N+1 detected" in text
+    assert page.count("<tr>") == 6 and "&lt;x&gt;" in page and "&quot;shop" in page
+    seen = []
+    logger = logging.Logger("t")
+    logger.addHandler(type("H", (logging.Handler,), {"emit": lambda self, r: seen.append(r.levelno)})())
+    sinks.log(found, logger, 3)
+    assert len(seen) == 3 and set(seen) <= set(sinks.LEVELS.values())
+    sinks.write_json(found, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == found.count()

@@ -27,7 +27,7 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that pass the base rules and stay near a language reference."""
     featured = quality_rules.features(docs)
     found = quality_rules.references(settled(featured.select("lang", "__rules")))
-    return quality_rules.verdicts(featured, found).where("kept").select(*docs.columns)
+    return quality_rules.verdicts(featured, found).where("__kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ from .common import let
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]+"
-#: Character classes beside symbols; what is in none counts as one more. Digits go with small letters, since
-#: numbers and keys say nothing about the prose around them.
-CLASSES = (r"[\p{Ll}\p{Nd}]+", r"\p{Lu}+", r"[\p{L}&&[^\p{Ll}\p{Lu}]]+", r"[.,;:!?'\"()\-@/=_+]+")
+#: Small letters and digits go together, since numbers and keys say nothing about the prose around them. What is
+#: left of a text without them is short, and is searched for the other classes beside symbols; the rest is one more.
+PLAIN = r"[\p{Ll}\p{Nd}]+"
+CLASSES = (r"\p{Lu}+", r"[\p{L}&&[^\p{Ll}\p{Lu}]]+", r"[.,;:!?'\"()\-@/=_+]+")
 #: Frequent function words of English, German, French and Spanish.
 COMMON = tuple(
     dict.fromkeys(
@@ -84,17 +85,17 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), F.array_join(w, "").alias("joined"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    spoken = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "), lambda x: x != "")
+    spoken = F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda x: x != "")
     first = docs.withColumns({
         "__w": let(words, counted),
         "__dup": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "__s": let(spoken, lambda x: F.struct(F.size(x).alias("n"), F.concat(F.lit(" "), F.array_join(F.filter(x, lambda y: y.isin(*COMMON)), "  "), F.lit(" ")).alias("common"))),
     })
     joined, common = F.col("__w.joined"), F.col("__s.common")
-    symbols = _taken(joined, SYMBOLS)
-    classes = [_taken(joined, x) for x in CLASSES]
+    first = first.withColumn("__left", F.regexp_replace(joined, PLAIN, ""))
+    left = F.col("__left")
     second = first.withColumns({
-        "__classes": F.array(symbols, *classes).cast("array<long>"),
+        "__classes": F.array(_taken(left, SYMBOLS), F.length(joined) - F.length(left), *[_taken(left, x) for x in CLASSES]).cast("array<long>"),
         "__counts": F.array(*[((F.length(common) - F.length(F.replace(common, F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("long") for x in COMMON]),
     })
     rest = lambda whole, parts: F.concat(parts, F.array(whole.cast("long") - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)))
@@ -104,7 +105,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         # Not deterministic, so the optimizer does not copy all this into each filter above.
         F.monotonically_increasing_id().alias("row"),
     )
-    return second.withColumn("__rules", made).drop("__w", "__dup", "__s", "__classes", "__counts")
+    return second.withColumn("__rules", made).drop("__w", "__dup", "__s", "__left", "__classes", "__counts")
 
 
 def base_failed(limits: Limits = Limits()) -> Column:
@@ -117,11 +118,11 @@ def references(featured: DataFrame, limits: Limits = Limits(), lang_col: str = "
 
     Summed twice: the second time over the documents that the first sums let pass, so that junk shifts nothing."""
     first = _pooled(featured.where(~base_failed(limits)), limits, lang_col)
-    return _pooled(verdicts(featured, first, limits).where("kept"), limits, lang_col) or first
+    return _pooled(verdicts(featured, first, limits).where("__kept"), limits, lang_col) or first
 
 
 def _pooled(usable: DataFrame, limits: Limits, lang_col: str) -> list[tuple[list[float], list[float]]]:
-    kinds = {"classes": len(CLASSES) + 2, "common": len(COMMON) + 1}
+    kinds = {"classes": len(CLASSES) + 3, "common": len(COMMON) + 1}
     sums = [F.sum(F.col(f"__rules.{k}")[i]).alias(f"{k}{i}") for k, n in kinds.items() for i in range(n)]
     total = usable.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.sum("__rules.n_words").alias("n"), *sums)
     total = total.where(F.col("n") >= limits.min_reference_words)
@@ -146,9 +147,9 @@ def distance(counts: Column, reference: list[float]) -> Column:
 
 
 def verdicts(featured: DataFrame, found: list[tuple[list[float], list[float]]], limits: Limits = Limits()) -> DataFrame:
-    """Adds base_failed, the distances from the nearest reference, and kept."""
+    """Adds `__base_failed`, the distances from the nearest reference, and `__kept`."""
     nearest = lambda k, kind: F.array_min(F.array(*[distance(F.col(f"__rules.{kind}"), r[k]) for r in found])) if found else F.lit(0.0)
-    out = featured.withColumns({"base_failed": base_failed(limits), "classes_distance": nearest(0, "classes"), "common_distance": nearest(1, "common")})
-    strange = (F.col("__rules.word_chars") >= limits.min_chars_classes) & (F.col("classes_distance") > limits.classes)
-    strange = strange | ((F.col("__rules.n_words") >= limits.min_words_common) & (F.col("common_distance") > limits.common))
-    return out.withColumn("kept", ~F.col("base_failed") & ~strange)
+    out = featured.withColumns({"__base_failed": base_failed(limits), "__classes_distance": nearest(0, "classes"), "__common_distance": nearest(1, "common")})
+    strange = (F.col("__rules.word_chars") >= limits.min_chars_classes) & (F.col("__classes_distance") > limits.classes)
+    strange = strange | ((F.col("__rules.n_words") >= limits.min_words_common) & (F.col("__common_distance") > limits.common))
+    return out.withColumn("__kept", ~F.col("__base_failed") & ~strange)

@@ -23,7 +23,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     featured = settled(quality_rules.features(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "__rules"))
     judged = quality_rules.verdicts(featured, quality_rules.references(featured))
-    return judged.select("doc_id", "__rules.n_words", "__rules.word_chars", "__rules.n_symbols", "__rules.n_dup_lines", "__rules.n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "__rules.n_words", "__rules.word_chars", "__rules.n_symbols", "__rules.n_dup_lines", "__rules.n_repeat_words", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

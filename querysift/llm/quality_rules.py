@@ -3,8 +3,12 @@
 A document's histograms of character classes and of common words are compared with those of its language by
 Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1). The references are sums over all
 documents that pass the base rules, by language. Which language a document is in is not asked: the nearest
-reference counts, so a wrong label rejects nothing. Either comparison needs a minimum length; shorter texts
-pass it.
+reference counts. Either comparison needs a minimum length; shorter texts pass it.
+
+Common words are measured against a text without any: its distance from a reference counts as 1, and the limit is a
+share of that, wider for short texts, whose histograms scatter, but always below 1. COMMON has words of four
+languages. A reference in which they are rare tells nothing of function words: it takes no part, and documents
+labelled with its language pass this comparison, as do unlabelled ones of an input that has such a reference.
 
 Base rules: at least 50 words, and at most half of them in repeated 3-word windows.
 
@@ -14,6 +18,7 @@ kept, other columns are not touched; an empty table gives no rows. Without any r
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +43,10 @@ COMMON = tuple(
 )
 
 
+#: Histograms of character classes and of common words, by language.
+References = dict[str, tuple[list[float], list[float]]]
+
+
 @dataclass(frozen=True)
 class Limits:
     """Parameters of the rules: lengths from which a comparison counts, and largest distances."""
@@ -45,9 +54,14 @@ class Limits:
     min_words: int = 50
     repeat_percent: int = 50
     min_chars_classes: int = 200
-    min_words_common: int = 50
+    min_words_common: int = 80
     classes: float = 0.14
-    common: float = 0.4
+    #: Shares of the distance of a text without common words: for long texts, at most, and what is added (in squares)
+    #: for the scatter of one word. References nearer than `least_common` to such a text tell nothing.
+    common: float = 0.6
+    most_common: float = 0.9
+    scatter: float = 7.0
+    least_common: float = 0.25
     min_reference_words: int = 5000
     most_references: int = 32
 
@@ -113,21 +127,21 @@ def base_failed(limits: Limits = Limits()) -> Column:
     return (n < limits.min_words) | (100 * F.col("__rules.n_repeat_words") > limits.repeat_percent * n)
 
 
-def references(featured: DataFrame, limits: Limits = Limits(), lang_col: str = "lang") -> list[tuple[list[float], list[float]]]:
+def references(featured: DataFrame, limits: Limits = Limits(), lang_col: str = "lang") -> References:
     """Both histograms, as shares, of each language with enough words; most words first.
 
     Summed twice: the second time over the documents that the first sums let pass, so that junk shifts nothing."""
     first = _pooled(featured.where(~base_failed(limits)), limits, lang_col)
-    return _pooled(verdicts(featured, first, limits).where("__kept"), limits, lang_col) or first
+    return _pooled(verdicts(featured, first, limits, lang_col).where("__kept"), limits, lang_col) or first
 
 
-def _pooled(usable: DataFrame, limits: Limits, lang_col: str) -> list[tuple[list[float], list[float]]]:
+def _pooled(usable: DataFrame, limits: Limits, lang_col: str) -> References:
     kinds = {"classes": len(CLASSES) + 3, "common": len(COMMON) + 1}
     sums = [F.sum(F.col(f"__rules.{k}")[i]).alias(f"{k}{i}") for k, n in kinds.items() for i in range(n)]
     total = usable.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.sum("__rules.n_words").alias("n"), *sums)
     total = total.where(F.col("n") >= limits.min_reference_words)
     shares = lambda r, k: [r[f"{k}{i}"] / max(1, sum(r[f"{k}{j}"] for j in range(kinds[k]))) for i in range(kinds[k])]
-    return [(shares(r, "classes"), shares(r, "common")) for r in total.orderBy(F.desc("n"), "lang").limit(limits.most_references).collect()]
+    return {r["lang"]: (shares(r, "classes"), shares(r, "common")) for r in total.orderBy(F.desc("n"), "lang").limit(limits.most_references).collect()}
 
 
 def distance(counts: Column, reference: list[float]) -> Column:
@@ -146,10 +160,26 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return F.when(whole > 0, let(whole, sum_of)).otherwise(F.lit(1.0))
 
 
-def verdicts(featured: DataFrame, found: list[tuple[list[float], list[float]]], limits: Limits = Limits()) -> DataFrame:
-    """Adds `__base_failed`, the distances from the nearest reference, and `__kept`."""
-    nearest = lambda k, kind: F.array_min(F.array(*[distance(F.col(f"__rules.{kind}"), r[k]) for r in found])) if found else F.lit(0.0)
-    out = featured.withColumns({"__base_failed": base_failed(limits), "__classes_distance": nearest(0, "classes"), "__common_distance": nearest(1, "common")})
+def without_common(reference: list[float]) -> float:
+    """The distance of a text without common words from a reference of common words."""
+    rest = reference[-1]
+    gain = rest * math.log2(2 * rest / (1 + rest)) if rest else 0.0
+    return math.sqrt(max((1 - rest + math.log2(2 / (1 + rest)) + gain) / 2, 0.0))
+
+
+def verdicts(featured: DataFrame, found: References, limits: Limits = Limits(), lang_col: str = "lang") -> DataFrame:
+    """Adds `__base_failed`, the distances from the nearest reference, and `__kept`.
+
+    `__common_distance` is a share of the distance of a text without common words."""
+    wordless = {lang: without_common(common) for lang, (_, common) in found.items()}
+    telling = [lang for lang, x in wordless.items() if x >= limits.least_common]
+    nearest = lambda parts: F.array_min(F.array(*parts)) if parts else F.lit(0.0)
+    classes = [distance(F.col("__rules.classes"), r) for r, _ in found.values()]
+    common = [distance(F.col("__rules.common"), found[lang][1]) / wordless[lang] for lang in telling]
+    out = featured.withColumns({"__base_failed": base_failed(limits), "__classes_distance": nearest(classes), "__common_distance": nearest(common)})
     strange = (F.col("__rules.word_chars") >= limits.min_chars_classes) & (F.col("__classes_distance") > limits.classes)
-    strange = strange | ((F.col("__rules.n_words") >= limits.min_words_common) & (F.col("__common_distance") > limits.common))
+    known = F.coalesce(~F.col(lang_col).isin([x for x in found if x not in telling]), F.lit(len(telling) == len(found)))
+    n = F.aggregate("__rules.common", F.lit(0).cast("long"), lambda a, x: a + x)
+    most = F.least(F.lit(limits.most_common), F.sqrt(limits.common**2 + limits.scatter**2 / n))
+    strange = strange | (known & (n >= limits.min_words_common) & (F.col("__common_distance") > most))
     return out.withColumn("__kept", ~F.col("__base_failed") & ~strange)

@@ -101,6 +101,25 @@ def test_distance_is_jensen_shannon(spark):
     assert got == pytest.approx(want)
 
 
+def prose(pick, words, n):
+    """Sentences of `n` words, three of ten of them function words."""
+    made = [pick.choice(words) if pick.random() < 0.3 else "".join(pick.choice("aeiourstnlmd") for _ in range(pick.randrange(3, 9))) for _ in range(n)]
+    return " ".join(f"{w.capitalize()}" if i % 9 == 0 else f"{w}." if i % 9 == 8 else w for i, w in enumerate(made))
+
+
+def test_text_without_function_words_is_rejected(spark):
+    import random
+
+    pick = random.Random(7)
+    words = {"en": quality_rules.COMMON[:20], "xx": ["qa", "wo", "ze"]}
+    rows = [(i, prose(pick, words[x], 300), x) for i, x in enumerate(["en", "xx"] * 30)]
+    rows += [(100 + n, prose(pick, ["kelora"], n), "en") for n in (100, 300, 3000)]
+    rows += [(9000 + n, prose(pick, words["en"], n), "en") for n in (60, 100, 150)] + [(9900, prose(pick, words["xx"], 300), None)]
+    featured = quality_rules.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.doc_id: r["__kept"] for r in quality_rules.verdicts(featured, quality_rules.references(featured)).collect()}
+    assert {i for i, k in kept.items() if not k} == {200, 400, 3100}
+
+
 def test_byte_bpe(spark, tables):
     ranks = tokenization.read_ranks(public_tokenizers.path(queries.RANKS))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

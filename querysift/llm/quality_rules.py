@@ -3,7 +3,9 @@
 A document's histograms of character classes and of common words are compared with those of its language by
 Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1). The references are sums over all
 documents that pass the base rules, by language. Which language a document is in is not asked: the nearest
-reference counts. Either comparison needs a minimum length; shorter texts pass it.
+reference counts, be it of another language. Either comparison needs a minimum length; shorter texts pass it.
+Documents labelled with a language that has no reference, for want of words in this input, pass both; unlabelled
+ones are judged by the nearest.
 
 Common words are measured against a text without any: its distance from a reference counts as 1, and the limit is a
 share of that, wider for short texts, whose histograms scatter, but always below 1. COMMON has words of four
@@ -18,6 +20,7 @@ kept, other columns are not touched; an empty table gives no rows. Without any r
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -63,7 +66,6 @@ class Limits:
     scatter: float = 7.0
     least_common: float = 0.25
     min_reference_words: int = 5000
-    most_references: int = 32
 
 
 def _repeated(w: Column) -> Column:
@@ -128,11 +130,12 @@ def base_failed(limits: Limits = Limits()) -> Column:
 
 
 def references(featured: DataFrame, limits: Limits = Limits(), lang_col: str = "lang") -> References:
-    """Both histograms, as shares, of each language with enough words; most words first.
+    """Both histograms, as shares, of each language with enough words.
 
-    Summed twice: the second time over the documents that the first sums let pass, so that junk shifts nothing."""
+    Summed twice: the second time over the documents that the first sums let pass, so that junk shifts nothing. A
+    language that has too few words left then keeps its first sums."""
     first = _pooled(featured.where(~base_failed(limits)), limits, lang_col)
-    return _pooled(verdicts(featured, first, limits, lang_col).where("__kept"), limits, lang_col) or first
+    return first | _pooled(verdicts(featured, first, limits, lang_col).where("__kept"), limits, lang_col)
 
 
 def _pooled(usable: DataFrame, limits: Limits, lang_col: str) -> References:
@@ -141,10 +144,10 @@ def _pooled(usable: DataFrame, limits: Limits, lang_col: str) -> References:
     total = usable.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.sum("__rules.n_words").alias("n"), *sums)
     total = total.where(F.col("n") >= limits.min_reference_words)
     shares = lambda r, k: [r[f"{k}{i}"] / max(1, sum(r[f"{k}{j}"] for j in range(kinds[k]))) for i in range(kinds[k])]
-    return {r["lang"]: (shares(r, "classes"), shares(r, "common")) for r in total.orderBy(F.desc("n"), "lang").limit(limits.most_references).collect()}
+    return {r["lang"]: (shares(r, "classes"), shares(r, "common")) for r in total.orderBy("lang").collect()}
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
+def distance(counts: Column, reference: list[float] | Column) -> Column:
     """The Jensen-Shannon distance of a histogram from a reference."""
 
     def part(share: Column, own: Column) -> Column:
@@ -153,7 +156,8 @@ def distance(counts: Column, reference: list[float]) -> Column:
         return (gain(share) + gain(own)) / 2
 
     def sum_of(whole: Column) -> Column:
-        parts = F.zip_with(counts, F.array(*map(F.lit, reference)), lambda n, q: part(n / whole, q))
+        own = F.array(*map(F.lit, reference)) if isinstance(reference, list) else reference
+        parts = F.zip_with(counts, own, lambda n, q: part(n / whole, q))
         return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
     whole = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
@@ -173,13 +177,16 @@ def verdicts(featured: DataFrame, found: References, limits: Limits = Limits(),
     `__common_distance` is a share of the distance of a text without common words."""
     wordless = {lang: without_common(common) for lang, (_, common) in found.items()}
     telling = [lang for lang, x in wordless.items() if x >= limits.least_common]
-    nearest = lambda parts: F.array_min(F.array(*parts)) if parts else F.lit(0.0)
-    classes = [distance(F.col("__rules.classes"), r) for r, _ in found.values()]
-    common = [distance(F.col("__rules.common"), found[lang][1]) / wordless[lang] for lang in telling]
-    out = featured.withColumns({"__base_failed": base_failed(limits), "__classes_distance": nearest(classes), "__common_distance": nearest(common)})
+    # One literal however many languages there are.
+    listed = lambda rows: F.from_json(F.lit(json.dumps(rows)), "array<struct<own: array<double>, whole: double>>")
+    nearest = lambda kind, rows: F.array_min(F.transform(listed(rows), lambda r: distance(F.col(f"__rules.{kind}"), r["own"]) / r["whole"])) if rows else F.lit(0.0)
+    classes = nearest("classes", [{"own": x, "whole": 1.0} for x, _ in found.values()])
+    common = nearest("common", [{"own": found[lang][1], "whole": wordless[lang]} for lang in telling])
+    out = featured.withColumns({"__base_failed": base_failed(limits), "__classes_distance": classes, "__common_distance": common})
     strange = (F.col("__rules.word_chars") >= limits.min_chars_classes) & (F.col("__classes_distance") > limits.classes)
     known = F.coalesce(~F.col(lang_col).isin([x for x in found if x not in telling]), F.lit(len(telling) == len(found)))
     n = F.aggregate("__rules.common", F.lit(0).cast("long"), lambda a, x: a + x)
     most = F.least(F.lit(limits.most_common), F.sqrt(limits.common**2 + limits.scatter**2 / n))
+    missing = F.coalesce(~F.col(lang_col).isin([*found]), F.lit(False))
     strange = strange | (known & (n >= limits.min_words_common) & (F.col("__common_distance") > most))
-    return out.withColumn("__kept", ~F.col("__base_failed") & ~strange)
+    return out.withColumn("__kept", ~F.col("__base_failed") & (missing | ~strange))

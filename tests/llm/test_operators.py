@@ -120,6 +120,30 @@ def test_text_without_function_words_is_rejected(spark):
     assert {i for i, k in kept.items() if not k} == {200, 400, 3100}
 
 
+def test_languages_without_reference_pass(spark):
+    import random
+
+    pick = random.Random(8)
+    rows = [(i, prose(pick, quality_rules.COMMON[:20], 300), "en") for i in range(30)]
+    uncased = lambda n: " ".join("".join(pick.choice("अआइईउकखगघचछज") for _ in range(4)) for _ in range(n))
+    rows += [(100, uncased(200), "hi"), (101, uncased(200), "en"), (102, "ab| CD# " * 5 + " ".join(f"{i}|#" for i in range(300)), "en")]
+    featured = quality_rules.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.doc_id: r["__kept"] for r in quality_rules.verdicts(featured, quality_rules.references(featured)).collect()}
+    assert {i for i, k in kept.items() if not k} == {101, 102}
+
+
+def test_every_language_with_enough_words_has_a_reference(spark):
+    import random
+
+    pick = random.Random(9)
+    rows = [(i, prose(pick, quality_rules.COMMON[:20], 80), f"l{i % 40}") for i in range(80)]
+    rows += [(100 + i, " ".join("".join(pick.choice("अआइईउकखगघचछज") for _ in range(4)) for _ in range(70)), "zz") for i in range(2)]
+    featured = quality_rules.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    limits = quality_rules.Limits(min_reference_words=100)
+    found = quality_rules.references(featured, limits)
+    assert len(found) == 41 and all(r["__kept"] for r in quality_rules.verdicts(featured, found, limits).collect())
+
+
 def test_byte_bpe(spark, tables):
     ranks = tokenization.read_ranks(public_tokenizers.path(queries.RANKS))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -28,12 +28,16 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs of key characters that the battery looks at.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Pattern, alphabet and shares of small letters, capitals, digits and marks, of each encoding; the first that fits.
+#: Dashes are left out before the tests where the alphabet has none.
 ENCODINGS = (
     (r"^[0-9]+$", "0123456789", (0, 0, 1, 0)),
     (r"^[0-9a-f]+$", "0123456789abcdef", (6 / 16, 0, 10 / 16, 0)),
     (r"^[0-9A-F]+$", "0123456789ABCDEF", (0, 6 / 16, 10 / 16, 0)),
+    (r"^[0-9a-f]+(-[0-9a-f]+)+$", "0123456789abcdef", (6 / 16, 0, 10 / 16, 0)),
+    (r"^[0-9A-F]+(-[0-9A-F]+)+$", "0123456789ABCDEF", (0, 6 / 16, 10 / 16, 0)),
     (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0, 26 / 32, 6 / 32, 0)),
     (r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", (26 / 36, 0, 10 / 36, 0)),
+    (r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (0, 26 / 36, 10 / 36, 0)),
     (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (26 / 62, 26 / 62, 10 / 62, 0)),
     (r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (26 / 64, 26 / 64, 10 / 64, 2 / 64)),
     (r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", (26 / 64, 26 / 64, 10 / 64, 2 / 64)),
@@ -105,7 +109,7 @@ def _fits(key: Column, alphabet: str, shares: tuple[float, ...]) -> Column:
         places = F.transform(chars, lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
         return let(F.transform(chars, _class_of), by_class) & (F.abs(uniform_z) < DEVIATION * 1.5) & let(places, by_place)
 
-    return let(F.split(F.regexp_replace(key, "=+$", ""), ""), lambda chars: let(F.filter(chars, lambda c: c != ""), tests))
+    return let(F.split(F.regexp_replace(key, "=+$" if "-" in alphabet else "=+$|-", ""), ""), lambda chars: let(F.filter(chars, lambda c: c != ""), tests))
 
 
 def _random(text: Column, base: Column) -> Column:

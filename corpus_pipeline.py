@@ -59,7 +59,7 @@ STAGES = [
     ("secret scans", secret_redaction),
     ("best-fit packing", best_fit_packing),
 ]
-#: A fitted classifier and a tokenizer's ids are beyond SQL; tests/llm compares run() with plain Python.
+#: A fitted classifier and a tokenizer's ids are beyond SQL; tests/llm runs the stages, but compares no row of run().
 ORACLE_SQL = None
 
 

@@ -1,4 +1,5 @@
-"""Findings as text, log lines and HTML. Each takes at most `most` findings to the driver, the most urgent first."""
+"""Findings as text, log lines and HTML. Each takes at most `most` findings to the driver, the most urgent first,
+and says how many it leaves out."""
 
 from __future__ import annotations
 
@@ -13,9 +14,12 @@ from .pipeline import rank
 LEVELS = {"critical": logging.ERROR, "warning": logging.WARNING, "info": logging.INFO}
 
 
-def _first(findings: DataFrame, most: int) -> list[Row]:
+def _first(findings: DataFrame, most: int) -> tuple[list[Row], str]:
+    """The findings to show, and a line on those left out, if any."""
     order = ("apply_rank", F.desc(rank(F.col("severity"))), "scope_id", "first_seq", "pos")
-    return findings.orderBy(*order).limit(most).collect()
+    rows = findings.orderBy(*order).limit(most).collect()
+    left = findings.count() - len(rows) if len(rows) == most else 0
+    return rows, f"{left} more findings are not shown" if left else ""
 
 
 def _place(row: Row) -> str:
@@ -24,18 +28,21 @@ def _place(row: Row) -> str:
 
 def console(findings: DataFrame, most: int = 1000) -> str:
     """Plain text, one finding after another."""
-    return "\n".join(f"[{r.severity.upper()}] {r.description}\n  at {_place(r)}\n  fix: {r.fix_suggestion}" for r in _first(findings, most))
+    rows, left = _first(findings, most)
+    return "\n".join([f"[{r.severity.upper()}] {r.description}\n  at {_place(r)}\n  fix: {r.fix_suggestion}" for r in rows] + [left] * bool(left))
 
 
 def log(findings: DataFrame, logger: logging.Logger, most: int = 1000) -> None:
-    for r in _first(findings, most):
-        logger.log(LEVELS[r.severity], "%s: %s (%s)", r.issue_type, r.description, _place(r))
+    rows, left = _first(findings, most)
+    for k, r in enumerate(rows, 1):
+        logger.log(LEVELS[r.severity], "%s: %s (%s)%s", r.issue_type, r.description, _place(r), f"; {left}" if left and k == len(rows) else "")
 
 
 def html(findings: DataFrame, title: str = "Findings", most: int = 1000) -> str:
     """A page with a table; all text is escaped."""
-    cells = "".join(f"<tr><td>{escape(r.severity)}</td><td>{escape(r.issue_type)}</td><td>{escape(r.description)}</td><td>{escape(_place(r))}</td><td>{escape(r.fix_suggestion)}</td></tr>" for r in _first(findings, most))
-    return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr><th>Severity</th><th>Kind</th><th>Finding</th><th>Place</th><th>Fix</th></tr>{cells}</table></body></html>"
+    rows, left = _first(findings, most)
+    cells = "".join(f"<tr><td>{escape(r.severity)}</td><td>{escape(r.issue_type)}</td><td>{escape(r.description)}</td><td>{escape(_place(r))}</td><td>{escape(r.fix_suggestion)}</td></tr>" for r in rows)
+    return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr><th>Severity</th><th>Kind</th><th>Finding</th><th>Place</th><th>Fix</th></tr>{cells}</table>{f'<p>{left}</p>' if left else ''}</body></html>"
 
 
 def write_json(findings: DataFrame, path: str) -> None:

@@ -107,3 +107,17 @@ def test_sinks(spark, tmp_path):
     assert len(seen) == 3 and set(seen) <= set(sinks.LEVELS.values())
     sinks.write_json(found, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == found.count()
+
+
+def test_reports_say_what_they_leave_out(spark, caplog):
+    import logging
+
+    from querysift.plans import sinks
+
+    rows = [(0, "warning", f"s{i}", i, 0, "n_plus_one", f"finding {i}", "fix", None, None) for i in range(5)]
+    found = spark.createDataFrame(rows, "apply_rank int, severity string, scope_id string, first_seq int, pos int, issue_type string, description string, fix_suggestion string, file_path string, line_number int")
+    with caplog.at_level(logging.INFO):
+        sinks.log(found, logging.getLogger("reports"), most=2)
+    for text in (sinks.console(found, most=2), sinks.html(found, most=2), caplog.text):
+        assert "finding 1" in text and "finding 2" not in text and "3 more findings are not shown" in text
+    assert "not shown" not in sinks.console(found, most=5) + sinks.html(found)

@@ -10,16 +10,19 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a worker's cache, and the longest text that goes into it. They bound memory only.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+#: Entries of each of a worker's caches, and the longest text that goes into one. They bound memory only.
+CACHE_ENTRIES, CACHE_CHARS = 80_000, 48
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = re.compile(r"[\x00-\u024f]*\Z")
 #: Fixed value: how the byte-level pre-tokenizer of the tokenizers library splits text by itself.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: Patterns known to start a match at each single space between other characters (see words_of).
+SPACE_FIRST = frozenset([BYTE_LEVEL_PATTERN, public_tokenizers.PATTERN])
 
 
 def byte_characters() -> list[str]:
@@ -76,8 +79,8 @@ def id_bytes(definition: str) -> list[bytes]:
 def words_of(text: str) -> list[str]:
     """`text` cut before single spaces that stand between other characters.
 
-    The usual byte-level patterns start a new match at such a space, whatever follows, so encoding the
-    parts one by one gives the ids of the whole."""
+    The patterns of SPACE_FIRST start a new match at such a space, whatever follows, so encoding the parts one by one
+    gives the ids of the whole."""
     if _ODD_SPACE.search(text):
         first, *rest = _INNER_SPACE.split(text)
     else:
@@ -89,14 +92,17 @@ class Encoder:
     """Texts to ids as little-endian uint32 bytes.
 
     A text falls into words (words_of), whose ids are kept in two generations of a bounded cache; `backend`
-    encodes those not met lately."""
+    encodes those not met lately. With in_words unset it gets whole texts, as patterns that may match across a
+    space need."""
 
-    def __init__(self, backend: Callable[[str], bytes]):
-        self._backend, self._known, self._older = backend, {}, {}
+    def __init__(self, backend: Callable[[str], bytes], in_words: bool = True):
+        self._backend, self._known, self._older, self._in_words = backend, {}, {}, in_words
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self._in_words:
+            return self._backend(text)
         words, known = words_of(text), self._known
         try:
             return b"".join([known[x] for x in words])
@@ -146,19 +152,31 @@ def by_library(definition: str) -> Callable[[str], bytes]:
 
 @functools.lru_cache(2)
 def rank_encoder(definition: str) -> Callable[[str | None], bytes]:
-    """Texts to the ids of a definition by tiktoken, several times as fast as the library; for definitions
-    whose merges stand in the order of their ids, as those of ranks do. Others go by the library."""
+    """Texts to the ids of a definition, as its own library gives them without adding special tokens.
+
+    Where the merges stand in the order of their ids, as those of ranks do, tiktoken gives the same ids several times as
+    fast; others go by the library. So does any text in which one of the definition's added tokens occurs, since the
+    library finds these in the text itself."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     found = json.loads(definition)
-    vocab, special = found["model"]["vocab"], {t["content"] for t in found.get("added_tokens", [])}
+    vocab, added = found["model"]["vocab"], {t["content"] for t in found.get("added_tokens", [])}
+    library = Tokenizer.from_str(definition)
+    marks = re.compile("|".join(map(re.escape, sorted(added))), re.I) if added else None
     merged = [vocab["".join(x if isinstance(x, list) else x.split(" "))] for x in found["model"]["merges"]]
     back = {c: b for b, c in enumerate(byte_characters())}
-    if merged != sorted(merged) or not set(back) <= set(vocab) or len(set(vocab) - special) != 256 + len(merged):
-        return encoder(definition)
-    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    if merged != sorted(merged) or not set(back) <= set(vocab) or len(set(vocab) - added) != 256 + len(merged) or found.get("normalizer"):
+        return lambda text: np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in added}
     plain = tiktoken.Encoding("own", pat_str=pattern_of(definition), mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(plain.encode_ordinary(text or ""), "<u4").tobytes()
+
+    def encode(text: str | None) -> bytes:
+        if marks and text and marks.search(text):
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(plain.encode_ordinary(text or ""), "<u4").tobytes()
+
+    return encode
 
 
 def pattern_of(definition: str) -> str:
@@ -171,4 +189,4 @@ def pattern_of(definition: str) -> str:
 @functools.lru_cache(2)
 def encoder(definition: str) -> Encoder:
     """The worker's encoder for a definition, kept from task to task."""
-    return Encoder(by_library(definition))
+    return Encoder(by_library(definition), pattern_of(definition) in SPACE_FIRST and not json.loads(definition).get("normalizer"))

@@ -37,3 +37,15 @@ def settled(df: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """`body(x)` with x bound to `value`, which Spark then evaluates once a row however often x occurs."""
     return F.transform(F.array(value), body)[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, lengthened until no column of `df` has them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -7,9 +7,11 @@ with the posterior of its path, from which it is itself left out.
 
 The model is fitted on at most SAMPLE labelled documents (expected number, chosen by hash); the aggregation covers
 all documents. Null text counts as empty, null hosts and paths are groups of their own. Labels that are null
-teach nothing, repeated ones each count. With labels of one class only, or none, all evidence is neutral and
-every document has the share of good labels (or one half). Repeated rows are judged alike, null ids are kept,
-other columns are not touched; an empty table gives no rows.
+teach nothing, nor do labels of ids without a document; a label repeated for an id counts once, with the smallest of
+the id's features where it has several texts, and an id with both labels counts once for each. With labels of one
+class only, or none, all evidence is neutral and every document has the share of good labels, kept within 0.01 and
+0.99 (or one half). Repeated rows are judged alike, null ids are kept, other columns are not touched; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled
+from .common import fresh, settled
 
 #: Labelled documents to fit on, and limits of the prior strengths (in documents).
 SAMPLE, LEAST_STRENGTH, MOST_STRENGTH = 20_000, 2.0, 10_000.0
@@ -79,7 +81,7 @@ class Model:
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
     """Logistic regression by Newton steps, on standardized features."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         bounded = min(max(share, 0.01), 0.99)
         return Model((0.0,) * x.shape[1] + (float(np.log(bounded / (1 - bounded))),), bounded)
     middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -98,12 +100,13 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
 
 def fit(described_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """The model of labelled documents; `described_docs` has `__features`."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where("__id is not null and __y is not null")
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where("__id is not null and __y is not null").distinct()
     share = min(1.0, SAMPLE / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = described_docs.select(F.col(id_col).alias("__id"), "__features").join(chosen, "__id").select("__features", "__y", "__id").orderBy("__id", "__y").toPandas()
-    x = np.array(rows["__features"].tolist(), float).reshape(len(rows), len(NAMES))
-    return fitted(x, rows["__y"].to_numpy(float))
+    rows = described_docs.select(F.col(id_col).alias("__id"), "__features").join(chosen, "__id").groupBy("__id", "__y").agg(F.min("__features").alias("__features"))
+    found = rows.orderBy("__id", "__y").toPandas()
+    x = np.array(found["__features"].tolist(), float).reshape(len(found), len(NAMES))
+    return fitted(x, found["__y"].to_numpy(float))
 
 
 @dataclass(frozen=True)
@@ -136,26 +139,36 @@ def sums(scored: DataFrame, host: Column, path: Column) -> tuple[DataFrame, Data
     return by_host, by_path, Priors(mean, _strength(by_host, F.lit(mean)), _strength(within, host_mean))
 
 
-def judged(scored: DataFrame, host: Column, path: Column, model: Model, groups: tuple[DataFrame, DataFrame, Priors]) -> DataFrame:
-    """Adds `__score`, the probability of good quality from evidence and posteriors, to rows with `__p`."""
+def judged(scored: DataFrame, host: Column, path: Column, model: Model, groups: tuple[DataFrame, DataFrame, Priors], p_col: str = "__p", score_col: str = "__score") -> DataFrame:
+    """Adds the probability of good quality from evidence and posteriors to rows with the classifier's own (`p_col`)."""
     by_host, by_path, priors = groups
-    sites = by_path.join(by_host.select("__host", F.col("n").alias("__hn"), F.col("s").alias("__hs")), "__host").withColumnsRenamed({"n": "__pn", "s": "__ps"})
-    keyed = scored.withColumns({"__h": F.coalesce(host.cast("string"), F.lit("")), "__q": F.coalesce(path.cast("string"), F.lit(""))})
-    both = keyed.join(sites, (F.col("__h") == F.col("__host")) & (F.col("__q") == F.col("__path")), "left")
-    p = F.col("__p")
-    at_host = (F.col("__hs") - p + priors.host * priors.mean) / (F.col("__hn") - 1 + priors.host)
-    at_path = (F.col("__ps") - p + priors.path * at_host) / (F.col("__pn") - 1 + priors.path)
+    names = dict(zip(("host", "path", "hn", "hs", "pn", "ps", "h", "q"), fresh(scored, *(f"__{x}" for x in ("host", "path", "hn", "hs", "pn", "ps", "h", "q"))), strict=True))
+    of_host = by_host.select(F.col("__host"), F.col("n").alias(names["hn"]), F.col("s").alias(names["hs"]))
+    sites = by_path.join(of_host, "__host").withColumnsRenamed({"n": names["pn"], "s": names["ps"], "__host": names["host"], "__path": names["path"]})
+    keyed = scored.withColumns({names["h"]: F.coalesce(host.cast("string"), F.lit("")), names["q"]: F.coalesce(path.cast("string"), F.lit(""))})
+    both = keyed.join(sites, (F.col(names["h"]) == F.col(names["host"])) & (F.col(names["q"]) == F.col(names["path"])), "left")
+    p = F.col(p_col)
+    at_host = (F.col(names["hs"]) - p + priors.host * priors.mean) / (F.col(names["hn"]) - 1 + priors.host)
+    at_path = (F.col(names["ps"]) - p + priors.path * at_host) / (F.col(names["pn"]) - 1 + priors.path)
     inside = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda x: F.log(inside(x) / (1 - inside(x)))
     odds = logit(p) - float(np.log(model.share / (1 - model.share))) + logit(at_path)
-    return both.withColumn("__score", 1 / (1 + F.exp(-odds))).drop("__h", "__q", "__host", "__path", "__pn", "__ps", "__hn", "__hs")
+    return both.withColumn(score_col, 1 / (1 + F.exp(-odds))).drop(*names.values())
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with `__p` (the classifier's own probability) and `__score` added."""
-    described_docs = docs.withColumn("__features", features(F.col(text_col).cast("string")))
-    small = settled(described_docs.select(F.col(id_col), host.alias("__host_key"), path.alias("__path_key"), "__features"))
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", p_col: str = "__p", score_col: str = "__score", keep_text: bool = True) -> DataFrame:
+    """The documents with two columns added: the classifier's own probability and the score.
+
+    Without keep_text only the id comes with them, and each text is described once; with it a second time, which
+    costs less than writing whole documents in between."""
+    by_text = features(F.col(text_col).cast("string"))
+    small = settled(docs.select(F.col(id_col).alias(id_col), host.cast("string").alias("__host_key"), path.cast("string").alias("__path_key"), by_text.alias("__features")))
     model = fit(small, labels, id_col)
-    groups = sums(small.withColumn("__p", model.probability(F.col("__features"))), F.col("__host_key"), F.col("__path_key"))
-    scored = described_docs.withColumn("__p", model.probability(F.col("__features"))).drop("__features")
-    return judged(scored, host, path, model, groups)
+    own = model.probability(F.col("__features"))
+    keys = F.col("__host_key"), F.col("__path_key")
+    groups = sums(small.withColumn("__p", own), *keys)
+    if not keep_text:
+        return judged(small.withColumn(p_col, own), *keys, model, groups, p_col, score_col).select(id_col, p_col, score_col)
+    at = fresh(docs, "__features")[0]
+    described_docs = docs.withColumn(at, by_text)
+    return judged(described_docs.withColumn(p_col, model.probability(F.col(at))).drop(at), host, path, model, groups, p_col, score_col)

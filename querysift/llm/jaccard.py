@@ -3,29 +3,36 @@
 Two sets whose Jaccard similarity reaches t share at least one token among the first n - ceil(t n) + 1 of each,
 under any global order of all tokens, and in those prefixes enough tokens that the rest can make up for the
 others. The join uses several orders; in each, tokens that many documents hold stand last, so that common
-passages stay out of the prefixes. Work goes in steps, none of which makes all pairs of a group:
+passages stay out of the prefixes. No step makes all pairs of a group:
 
 1. Tokens are counted in cells by hash; a broadcast bitmap (its size bounded) tells the crowded cells. It only
    shapes the orders: any order gives the same result.
-2. Documents of equal sets become one class, with its prefix in the first order.
-3. Classes that share a token of these prefixes meet at the smallest class with that token; one meeting place
-   holds all classes of many tokens, less those without another of similar size. There pairs must pass the
-   length filter and the first order's prefix filter. Spanning edges of those that pass give clusters.
-4. The texts of candidates go to their cluster, once each. There pairs must pass the prefix filters of the other
-   orders as well; then their whole sets are compared.
-5. Spanning edges of the linked pairs give the components.
-
-Meeting places and clusters beyond BLOCK members are cut into blocks, and each pair of blocks is a task.
+2. Documents of equal sets become one class, stored with its prefixes in all orders.
+3. Classes that share a token of the first order's prefix meet. Up to FEW at a token are paired there, where their
+   lengths and the token's places allow it. More meet at spots, one for all tokens with the same smallest class, cut
+   by size; there the smallest class is paired with each other one.
+4. A pair passes if the prefixes in every order allow it, each by itself and all together: the filters are intersected,
+   and only then texts are fetched, those of pairs that passed, and the whole sets compared. Links that hold give the
+   first components.
+5. Spots whose members are of several components are looked at again. Large ones get other centres. Then each
+   member outside the component of its spot's first class is tried with all members of other components, in blocks;
+   of the pairs that pass the filters its best few are verified, and more of them in each further round until none
+   is left. So all pairs that pass are verified, but for those that verified links join already.
+6. Components are those of verified links only.
 
 Words are maximal runs without ASCII white space, A-Z in lower case. A document with fewer words than a shingle
 has one shingle, its whole sequence; null text or text without words has no shingle and links with nothing.
-Rows that repeat an id are documents of their own; their components have the same name, so they always share it
-when their texts do. Rows with a null id take no part. Empty tables give no rows.
+Rows that repeat an id are documents of their own: those with equal texts are in one component, others need not be.
+Rows with a null id take no part. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -33,13 +40,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, shared_dir
 
-#: Members of a block, and cells of the token counts: CELLS_A_DOCUMENT for each, at most MOST_CELLS (2 MB of bits).
-BLOCK, CELLS_A_DOCUMENT, MOST_CELLS = 1024, 16, 1 << 24
+#: Members of a block and their tokens; cells of the token counts: CELLS_A_DOCUMENT for each, at most MOST_CELLS (2 MB of
+#: bits). They bound a task's memory and what is broadcast.
+BLOCK, BLOCK_TOKENS, CELLS_A_DOCUMENT, MOST_CELLS = 1024, 1 << 22, 16, 1 << 24
+#: Most classes at a token that are paired there at once; partners to which one copy of a class goes; turns with new
+#: centres in spots beyond a block; partners tried at first.
+FEW, PARTNERS, TURNS, FIRST_MOST = 16, 256, 3, 4
 #: Cells go in chunks of this many; a cell is crowded beyond the mean by CROWDED and six times the mean's root.
 CHUNK, CROWDED = 1 << 14, 32
 _U = np.uint64
@@ -51,9 +62,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct shingles of a text in UTF-8."""
+    parts = (text or b"").lower().split()
     if not parts:
         return np.empty(0, _U)
     if len(parts) < words:
@@ -70,18 +81,19 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _in_order(tokens: np.ndarray, crowded: np.ndarray | None, order: int) -> np.ndarray:
-    """Places of tokens in a global order: hashed, with those of crowded cells last."""
-    keys = _mixed(tokens + _U(order * 0x9E3779B97F4A7C15 % 2**64)) >> _U(1)
+def _in_order(tokens: np.ndarray, crowded: np.ndarray | None, order: int, orders: int) -> np.ndarray:
+    """Places of tokens in a global order: round the circle of their hashes from the order's own start, with those of
+    crowded cells last. The upper bit tells these."""
+    keys = ((tokens >> _U(1)) - _U(order * 2**63 // orders)) & _U(2**63 - 1)
     if crowded is not None:
         cell = tokens & _U(8 * len(crowded) - 1)
         keys |= ((crowded[(cell >> _U(3)).astype(np.int64)] >> (cell & _U(7)).astype(np.uint8)) & 1).astype(_U) << _U(63)
     return keys
 
 
-def _prefix(tokens: np.ndarray, crowded: np.ndarray | None, order: int, percent: int) -> np.ndarray:
+def _prefix(tokens: np.ndarray, crowded: np.ndarray | None, order: int, percent: int, orders: int) -> np.ndarray:
     """The first tokens of a set, as sorted places in the order."""
-    keys, p = _in_order(tokens, crowded, order), prefix_length(len(tokens), percent)
+    keys, p = _in_order(tokens, crowded, order, orders), prefix_length(len(tokens), percent)
     return np.sort(np.partition(keys, p - 1)[:p])
 
 
@@ -114,7 +126,7 @@ def crowded_cells(docs: DataFrame, words: int, n_docs: int) -> np.ndarray:
             total += np.frombuffer(raw, np.uint8 if len(raw) == CHUNK else np.uint32)
         return pa.table([pa.array([parts["chunk"][0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "total", "counts"])
 
-    summed = settled(docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, total long, counts binary"))
+    summed = settled(docs.select(F.col("text").cast("binary")).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, total long, counts binary"))
     mean = (summed.agg(F.sum("total")).first()[0] or 0) / cells
     most = mean + 6 * mean**0.5 + CROWDED
 
@@ -129,58 +141,119 @@ def crowded_cells(docs: DataFrame, words: int, n_docs: int) -> np.ndarray:
     return out
 
 
-def _documents(docs: DataFrame, words: int, percent: int, crowded: Broadcast) -> DataFrame:
-    """doc_id, set_id (16 bytes that stand for the set), n_shingles and the packed prefix in the first order."""
+class _Store:
+    """Tables of one join, written to the shared folder; those no longer needed are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder, self._n = spark, f"{shared_dir(spark).rstrip('/')}/jaccard-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self._folder}/{self._n}"
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        out._stored_at = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for x in tables:
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(x._stored_at)
+            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Has the driver notice which shuffles no plan needs any more, so that executors delete their files; else they
+        stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self._spark._jvm.System.gc()
+
+
+def _sets(docs: DataFrame, words: int, percent: int, orders: int, crowded: Broadcast) -> DataFrame:
+    """doc_id, text_hash, set_id (16 bytes that stand for the set), n_shingles and head: the prefixes in all orders, that
+    of the first as whole places, those of the others as the upper half of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, sizes, heads = [], [], []
+            ids, sizes, heads = [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), words)
                 sizes.append(len(tokens))
-                sets.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                heads.append(_prefix(tokens, crowded.value, 0, percent).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "set_id", "n_shingles", "prefix"])
+                ids.append(_digest(tokens) if len(tokens) else None)
+                made = [_prefix(tokens, crowded.value, k, percent, orders) for k in range(orders)] if len(tokens) else None
+                heads.append(b"".join([made[0].tobytes(), *[(x >> _U(32)).astype(np.uint32).tobytes() for x in made[1:]]]) if made else None)
+            made = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_hash", "set_id", "n_shingles", "head"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary"), F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set_id binary, n_shingles long, head binary")
+
+
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _parts(n: int, head: bytes, percent: int) -> list[np.ndarray]:
+    """The prefixes of a head, by order."""
+    p = prefix_length(n, percent)
+    return [np.frombuffer(head, _U, p), *[np.frombuffer(head, np.uint32, p, at) for at in range(8 * p, len(head), 4 * p)]]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, n_shingles long, prefix binary")
 
+def _enough(shared, total, percent: int):
+    """Whether sets with so many elements together and in common reach the similarity."""
+    return (100 + percent) * shared >= percent * total
 
-def _first_tokens(classes: DataFrame) -> DataFrame:
-    """cls and token: a row for each prefix token."""
+
+def _alike_in_size(a, b, percent: int):
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _may_link(x: list[np.ndarray], y: list[np.ndarray], a: int, b: int, percent: int) -> bool:
+    """Whether sets of a and b tokens can reach the similarity, by their prefixes in all orders together.
+
+    In each order the prefixes must share a token. The orders start apart on the circle, so each has an arc of tokens to
+    itself; what the prefixes tell about the arcs adds up."""
+    common = of_x = of_y = 0
+    for u, v in zip(x, y, strict=True):
+        shared = v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u
+        if not shared.any():
+            return False
+        top = u.dtype.type(1 << (8 * u.dtype.itemsize - 1))
+        arc = u.dtype.type(int(top) // len(x))
+        last = min(u[-1], v[-1])  # below it both sets are known
+        own, other = (u < last) & ((u & ~top) < arc), (v < last) & ((v & ~top) < arc)
+        common += int(np.count_nonzero(shared & own))
+        of_x += int(np.count_nonzero(own))
+        of_y += int(np.count_nonzero(other))
+        if not _enough(common + min(a - of_x, b - of_y), a + b, percent):
+            return False
+    return True
+
+
+def _first_tokens(classes: DataFrame, percent: int) -> DataFrame:
+    """token, key, n (the set's size) and left (what it has from the token on): a row for each token of the first prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
-            tokens = np.concatenate(own)
-            for i in range(0, len(ids), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 17)]), pa.array(tokens[i : i + (1 << 17)])], names=["cls", "token"])
-
-    return classes.select("cls", "prefix").mapInArrow(run, "cls long, token long")
-
-
-def _united(n: int, pairs: Iterator[tuple[int, int]], test=lambda a, b: True) -> list[tuple[int, int]]:
-    """Spanning edges of the pairs that pass the test, which is asked only where a pair would join two trees."""
-    parent, out = list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y and test(a, b):
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+            sizes = batch.column(1).to_numpy()
+            own = [_parts(int(n), x.as_py(), percent)[0] for n, x in zip(sizes, batch.column(2), strict=True)]
+            lengths = [len(x) for x in own]
+            n = np.repeat(sizes, lengths)
+            made = [np.concatenate(own).view(np.int64), np.repeat(batch.column(0).to_numpy(), lengths), n, n - np.concatenate([np.arange(x) for x in lengths])]
+            for i in range(0, len(n), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in made], names=["token", "key", "n", "left"])
+
+    return classes.select("key", "n_shingles", "head").mapInArrow(run, "token long, key long, n long, left long")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Groups of rows with equal first columns, from rows sorted by those."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, key=lambda r: r[:keys])
 
 
 def _overlaps(sets: list[np.ndarray], left: range, right: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each set of `left`, the later sets of `right` that share an element with it, and how many they share."""
+    """For each set of `left`, the sets of `right` that share an element with it, and how many they share."""
     everything = np.concatenate([sets[i] for i in right]) if len(right) else np.empty(0, _U)
     owner = np.repeat(np.fromiter(right, np.int64, len(right)), [len(sets[i]) for i in right])
     order = np.argsort(everything, kind="stable")
@@ -188,143 +261,259 @@ def _overlaps(sets: list[np.ndarray], left: range, right: range) -> Iterator[tup
     for i in left:
         low, high = np.searchsorted(everything, sets[i], "left"), np.searchsorted(everything, sets[i], "right")
         n = high - low
-        if not n.any():
-            continue
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        others, shared = np.unique(owner[at], return_counts=True)
-        keep = others > i
-        yield i, others[keep], shared[keep]
+        if n.any():
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            yield i, *np.unique(owner[at], return_counts=True)
+
 
+def _tested(pairs: DataFrame, payloads: DataFrame, prepare, test) -> DataFrame:
+    """The pairs (a, b) for which test(x, y) holds; x and y come from prepare(n, data) of the payloads (key, n, data).
 
-def _long_enough(a: int, b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
-    """100 |x & y| >= percent |x | y|."""
-    return 100 * shared >= percent * (a + b - shared)
+    A class goes to each of its partners in chunks of PARTNERS, so neither its copies nor a task's work pile up; a task
+    holds one class at a time."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks"))
+    firsts = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
+    others = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", F.col("b").alias("key"))
+    rows = firsts.unionByName(others).join(payloads, "key").select("a", "chunk", "b", "n", "data")
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in batch], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def _may_link(u: np.ndarray, v: np.ndarray, a: int, b: int, percent: int) -> bool:
-    """Whether sets of a and b tokens can reach the similarity, by their prefixes in one order."""
-    last = min(u[-1], v[-1])  # up to here both sets are known
-    nu, nv = int(np.searchsorted(u, last, "right")), int(np.searchsorted(v, last, "right"))
-    shared = len(np.intersect1d(u[:nu], v[:nv], assume_unique=True))
-    return shared > 0 and bool(_long_enough(a, b, shared + min(a - nu, b - nv), percent))
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
+        own, first = None, None
+        for batch in batches:
+            found = []
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for a, chunk, b, n, data in zip(*columns, batch.column(4), strict=True):
+                made = prepare(n, data.as_py())
+                if b is None:
+                    own, first = (a, chunk), made
+                elif own == (a, chunk) and test(first, made):
+                    found.append((a, b))
+            yield found
 
+    return rows.mapInArrow(run, "a long, b long")
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Groups of rows with equal first columns, from rows sorted by those."""
-    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for key, group in groupby(rows, key=lambda r: r[:keys]):
-        yield key, list(group)
 
+def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the filters of all orders."""
 
-def _in_blocks(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """Rows with block_a, block_b and own: each group's pairs of blocks, with the members of both."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"block_a": F.least("own", "other"), "block_b": F.greatest("own", "other")}).drop("other", "blocks")
+    def test(x: tuple, y: tuple) -> bool:
+        (a, u), (b, v) = x, y
+        return bool(_alike_in_size(a, b, percent)) and _may_link(u, v, a, b, percent)
 
+    payloads = classes.select("key", F.col("n_shingles").alias("n"), F.col("head").alias("data"))
+    return _tested(pairs, payloads, lambda n, head: (n, _parts(n, head, percent)), test)
 
-def _edges(rows: DataFrame, group: str, payload: str, link) -> DataFrame:
-    """Runs link(ids, payloads, split) on each pair of blocks; it returns pairs of places, spanning edges.
 
-    With split = n the first n members are of one block and the others of another; else all are of one."""
-    keyed = rows.select(group, "block_a", "block_b", "own", "cls", payload)
-    keyed = keyed.repartition(group, "block_a", "block_b").sortWithinPartitions(group, "block_a", "block_b", "own", "cls")
+def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """key, n and data (the text) of the wanted classes (key, doc_id, set_id).
+
+    A broadcast bitmap of their ids, bounded in size, keeps most other texts from the shuffle."""
+    cells = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * wanted.count()))), np.log2(CHUNK), np.log2(MOST_CELLS)))
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells))
+    held = wanted.groupBy(F.floor(cell / CHUNK).cast("int").alias("chunk")).agg(F.collect_set((cell % CHUNK).cast("int")).alias("cells"))
+    bits = np.zeros(cells, bool)
+    for r in held.collect():  # MOST_CELLS numbers at most
+        bits[r.chunk * CHUNK + np.array(r.cells)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for key, group_rows in _grouped(batches, 3):
-            ids, payloads = [r[4] for r in group_rows], [r[5] for r in group_rows]
-            split = sum(r[3] == key[1] for r in group_rows) if key[1] != key[2] else None
-            for i, j in link(ids, payloads, split):
-                a.append(ids[i])
-                b.append(ids[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            made = [shingles(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) if len(x) else None for x in made], pa.binary()), batch.column(1)], names=["doc_id", "set_id", "data"])
+
+    found = docs.select("doc_id", F.col("text").cast("binary"), cell.alias("cell")).mapInArrow(run, "doc_id long, set_id binary, data binary")
+    return found.join(wanted, ["doc_id", "set_id"]).dropDuplicates(["key"]).select("key", F.lit(0).cast("long").alias("n"), "data")
 
-    return keyed.mapInArrow(run, "a long, b long")
 
+def _verified(store: _Store, pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The stored pairs whose whole sets are similar enough, stored."""
+    wanted = store.put(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "doc_id", "set_id"), "key"))
+    texts = store.put(_texts(docs, wanted, words))
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        return bool(_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), percent))
+
+    out = store.put(_tested(pairs, texts, lambda _, text: shingles(text, words), test))
+    store.drop(wanted, texts)
+    store.sweep()
+    return out
 
-def _sides(n: int, split: int | None) -> tuple[range, range]:
-    return (range(n), range(n)) if split is None else (range(split), range(split, n))
 
+def _met(store: _Store, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (a, b) that meet with few others at some token, and the members (place, size, key) of spots."""
+    tokens = _first_tokens(classes, percent)
+    sums = {"m": F.count("*"), "a": F.min("key"), "b": F.max("key"), "total": F.sum("n"), "least": F.min("n"), "most": F.max("n"), "left": F.min("left")}
+    alike = lambda least, most: 100 * F.col(least) >= percent * F.col(most)
+    alone = (F.col("m") == 2) & alike("least", "most") & ((100 + percent) * F.col("left") >= percent * F.col("total"))
+    meeting = store.put(tokens.groupBy("token").agg(*[x.alias(k) for k, x in sums.items()]).where((F.col("m") > 2) | alone).select("token", "m", "a", "b"))
+    store.sweep()
+    shared = store.put(tokens.join(meeting.where("m > 2").select("token", "m", F.col("a").alias("place")), "token"))
+    store.sweep()
+    few = shared.where(F.col("m") <= FEW)
+    x, y = (few.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "left")]) for k in "xy")
+    reachable = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    similar = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & reachable
+    by_few = x.join(y, "token").where((F.col("key_x") < F.col("key_y")) & similar).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    pairs = store.put(meeting.where("m = 2").select("a", "b").unionByName(by_few).distinct())
+    places = shared.where(F.col("m") > FEW).select("place", "key", "n").distinct()
+    # Sizes of a similar pair are in one bucket, or the larger one's reaches down to the smaller one's.
+    t = percent / 100
+    bucket = lambda n: F.floor(F.log(n) / (-2 * math.log(t) + 1e-9)).cast("int")
+    rows = places.withColumn("size", F.explode(F.array_distinct(F.array(bucket(F.col("n")), bucket(F.greatest(F.col("n") * (t - 1e-9), F.lit(1.0)))))))
+    several = rows.groupBy("place", "size").count().where("count > 1").select("place", "size")
+    members = store.put(rows.join(several, ["place", "size"]).select("place", "size", "key", "n"))
+    store.drop(meeting, shared)
+    store.sweep()
+    return pairs, members
+
+
+def _named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Rows of classes with their component, so far: that of `names`, or their own key."""
+    if names is None:
+        return rows.withColumn("component", F.col("key"))
+    known = names.withColumnRenamed("node", "key")
+    return rows.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def _divided(named: DataFrame, more_than: int) -> DataFrame:
+    """place, size, and the component of the first member, of spots with more members, of several components."""
+    several = named.groupBy("place", "size").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "key").alias("main"))
+    return several.where((F.col("m") > more_than) & (F.col("low") < F.col("high"))).select("place", "size", "main")
+
+
+def _stars(named: DataFrame, spots: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a spot's centre, one of the members outside its main component, and its other members."""
+    outside = named.join(spots, ["place", "size"]).where("component <> main")
+    chosen = outside.groupBy("place", "size").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(turn))).alias("centre"))
+    pairs = named.join(chosen, ["place", "size"]).where("component <> centre.component")
+    return pairs.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
+
+
+def _across(named: DataFrame, asked: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """place, size, a, b: for each asked member (place, size, key) up to `most` members of other components with which
+    it passes the filters, those that share most first, and a row with null b if there are more."""
+    spot = ["place", "size"]
+    blocks = lambda df, name: df.groupBy(*spot).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias(name))
+    asked = asked.join(named, [*spot, "key"])
+    dealt = blocks(asked, "rows").join(blocks(named, "columns"), spot)
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(dealt, spot).select(*spot, place("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), "key", "component")
+    right = named.join(dealt, spot).select(*spot, every("rows").alias("row"), place("columns").alias("column"), F.lit(1).alias("side"), "key", "component")
+    rows = left.unionByName(right).join(classes.select("key", "n_shingles", "head"), "key").select(*spot, "row", "column", "side", "key", "component", "n_shingles", "head")
+    rows = rows.repartition(*spot, "row", "column").sortWithinPartitions(*spot, "row", "column", "side", "key")
+
+    def found(group: list[tuple]) -> Iterator[tuple]:
+        keys, of, sizes = (np.array([r[k] for r in group], np.int64) for k in (5, 6, 7))
+        heads = [_parts(r[7], r[8], percent) for r in group]
+        n_left, lengths = sum(r[4] == 0 for r in group), np.array([len(x[0]) for x in heads])
+        for i, others, shared in _overlaps([x[0] for x in heads], range(n_left), range(n_left, len(group))):
+            rest = np.maximum(sizes[i] - lengths[i], sizes[others] - lengths[others])
+            use = (of[others] != of[i]) & _alike_in_size(sizes[i], sizes[others], percent) & _enough(shared + rest, sizes[i] + sizes[others], percent)
+            got = 0
+            for j in others[use][np.argsort(-shared[use], kind="stable")].tolist():
+                if _may_link(heads[i], heads[j], int(sizes[i]), int(sizes[j]), percent):
+                    got += 1
+                    yield int(keys[i]), int(keys[j]) if got <= most else None
+                    if got > most:
+                        break
 
-def components(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _grouped(batches, 4):
+            out = list(found(list(group)))
+            columns = [[key[0]] * len(out), [key[1]] * len(out), [x[0] for x in out], [x[1] for x in out]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["place", "size", "a", "b"])
+
+    return rows.mapInArrow(run, "place long, size int, a long, b long")
+
+
+def components(edges: DataFrame, put=settled) -> DataFrame:
     """node and component (the smallest node it reaches), for all nodes of `edges` (a, b).
 
     In each round every node takes the smallest name among its neighbours', then its name's name; that ends after
-    about as many rounds as the logarithm of the longest path. Names and edges stay in tables all along."""
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    names = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    about as many rounds as the logarithm of the longest path. Names and edges stay in tables all along, which `put`
+    writes."""
+    both = put(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    names = put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = both.join(names, both.b == names.node).groupBy("a").agg(F.min("component").alias("near"))
         hooked = names.join(near, names.node == near.a).select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         # The name's own new name: also the smallest that any node of that name has found.
         best = hooked.groupBy("old").agg(F.min("new").alias("best"))
-        jumped = hooked.join(best, "old").select("node", F.least("new", "best").alias("component"), "old")
-        names = settled(jumped)
-        changed = names.where("component <> old").limit(1).count()
-        names = names.select("node", "component")
-        if not changed:
+        jumped = put(hooked.join(best, "old").select("node", F.least("new", "best").alias("component"), "old"))
+        names = jumped.select("node", "component")
+        if jumped.where("component <> old").isEmpty():
             return names
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, orders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _linked(store: _Store, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """node and component (both keys of classes) of all classes with a link; None if there is none."""
+    pairs, members = _met(store, classes, percent)
+    edges: list[DataFrame] = []
+    names: DataFrame | None = None
+
+    def verify(candidates: DataFrame) -> DataFrame | None:
+        """The components after the candidates' links have joined those known."""
+        passed = store.put(candidates)
+        store.sweep()
+        found = None if passed.isEmpty() else _verified(store, passed, classes, docs, words, percent)
+        store.drop(passed)
+        if found is None or found.isEmpty():
+            return names
+        edges.append(found)
+        return components(functools.reduce(DataFrame.unionByName, edges), store.put)
+
+    firsts = members.groupBy("place", "size").agg(F.min("key").alias("a"))
+    stars = members.join(firsts, ["place", "size"]).where("key <> a").select("a", F.col("key").alias("b"))
+    names = verify(_filtered(pairs.unionByName(stars).distinct(), classes, percent))
+    for turn in range(TURNS):
+        now = _named(members, names)
+        spots = store.put(_divided(now, BLOCK))
+        if spots.isEmpty():
+            break
+        names = verify(_filtered(_stars(now, spots, turn), classes, percent))
+    asked, most = None, FIRST_MOST
+    while True:
+        now = _named(members, names)
+        spots = store.put(_divided(now, 2))
+        inside = now.join(spots, ["place", "size"])
+        wanted = inside.where("component <> main").select("place", "size", "key")
+        if asked is not None:
+            wanted = wanted.select("place", "size").distinct().join(asked, ["place", "size"])
+        found = store.put(_across(inside.drop("main"), wanted, classes, percent, most))
+        asked = store.put(found.where("b is null").select("place", "size", F.col("a").alias("key")).distinct())
+        names = verify(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        store.drop(found, spots)
+        if asked.isEmpty():
+            return names
+        most *= 16
+
+
+def join(docs: DataFrame, words: int = 4, percent: int = 85, orders: int = 3, id_col: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the smallest id that links of at least `percent`
-    hundredths reach from it, its own included."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    hundredths reach from it, its own included.
+
+    Two more columns tell rows with repeated ids apart: text_hash, xxhash64 of the text, and group, a number of the
+    component, null without shingles."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id") if isinstance(id_col, str) else id_col.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    store = _Store(docs.sparkSession)
     crowded = docs.sparkSession.sparkContext.broadcast(crowded_cells(docs, words, docs.count()))
-    found = settled(_documents(docs, words, percent, crowded))
-    sets = found.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
-    classes = found.join(sets, "set_id").where("doc_id = cls").dropDuplicates(["set_id"]).select("cls", "n_shingles", "prefix")
-    clusters = components(_candidates(settled(classes), percent))
-    named = components(_verified(docs, clusters, words, percent, orders, crowded))
-    reached = sets.join(named, sets.cls == named.node, "left").select("set_id", F.coalesce("component", "cls").alias("component"))
-    return found.select("doc_id", "n_shingles", "set_id").join(reached, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges of the pairs of classes that pass the filters of length and of the first order."""
-    tokens = _first_tokens(classes).repartition("token")
-    meeting = tokens.groupBy("token").agg(F.min("cls").alias("place"), F.count("*").alias("n")).where("n > 1").select("token", "place")
-    members = tokens.join(meeting, "token").select("place", "cls").distinct().join(classes.select("cls", "n_shingles"), "cls")
-    by_size = Window.partitionBy("place").orderBy("n_shingles", "cls")
-    near = (100 * F.lag("n_shingles").over(by_size) >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.lead("n_shingles").over(by_size))
-    members = settled(members.withColumn("near", near).where("near").select("place", "cls"))
-    own = classes.select("cls", F.struct("n_shingles", "prefix").alias("set"))
-    rows = _in_blocks(members, "place").join(own, "cls")
-
-    def link(ids: list[int], payloads: list, split: int | None) -> list[tuple[int, int]]:
-        sizes = np.array([x["n_shingles"] for x in payloads])
-        heads = [np.frombuffer(x["prefix"], _U) for x in payloads]
-        pairs = _similar_in_size(_overlaps(heads, *_sides(len(ids), split)), sizes, percent)
-        return _united(len(ids), pairs, lambda i, j: _may_link(heads[i], heads[j], int(sizes[i]), int(sizes[j]), percent))
-
-    return _edges(rows, "place", "set", link)
-
-
-def _similar_in_size(shared: Iterator, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """The pairs of _overlaps that pass the length filter."""
-    for i, others, _ in shared:
-        for j in others[100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])].tolist():
-            yield i, j
-
-
-def _verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int, orders: int, crowded: Broadcast) -> DataFrame:
-    """Spanning edges of the pairs in each cluster that are similar enough, by their whole sets."""
-    members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("cls"))
-    rows = _in_blocks(members, "cluster").join(docs.withColumnRenamed("doc_id", "cls"), "cls")
-
-    def link(ids: list[int], payloads: list, split: int | None) -> list[tuple[int, int]]:
-        sets = [shingles(x, words) for x in payloads]
-        sizes = np.array([len(x) for x in sets])
-        heads = [[_prefix(x, crowded.value, k, percent) for x in sets] for k in range(1, orders)]
-
-        def similar(i: int, j: int) -> bool:
-            if not all(_may_link(h[i], h[j], int(sizes[i]), int(sizes[j]), percent) for h in heads):
-                return False
-            return bool(_long_enough(sizes[i], sizes[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True)), percent))
-
-        pairs = _similar_in_size(_overlaps(heads[0] if heads else sets, *_sides(len(ids), split)), sizes, percent)
-        return _united(len(ids), pairs, similar)
-
-    return _edges(rows, "cluster", "text", link)
+    found = store.put(_sets(docs, words, percent, orders, crowded))
+    firsts = found.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    classes = found.join(firsts, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"])
+    classes = store.put(classes.select("doc_id", "set_id", "n_shingles", "head", F.monotonically_increasing_id().alias("key")))
+    documents = store.put(found.drop("head"))
+    store.drop(found)
+    store.sweep()
+    names = _linked(store, classes, docs, words, percent)
+    own = _named(classes.select("doc_id", "set_id", "key"), names).withColumnRenamed("component", "group")
+    smallest = own.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    reached = store.put(own.join(smallest, "group").select("set_id", "component_id", "group"))
+    store.drop(classes)
+    return documents.join(reached, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "group")

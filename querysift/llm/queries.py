@@ -16,7 +16,8 @@ RANKS, DEFINITION = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best by inner product for every vector whose id is divisible by 50."""
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of good quality; hosts are the sources, paths the languages in them."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source", "lang")
-    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), keep_text=False)
     return scored.select("doc_id", F.col("__p").alias("text_score"), F.col("__score").alias("score"), (F.col("__score") >= quality_model.KEEP_FROM).alias("kept"))
 
 
@@ -68,7 +69,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share 85 % of their 4-word shingles, and the groups that links of these make."""
-    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ LONG = " ".join(f"word{i * 7919 % 1009} the{i % 13} of" for i in range(4000))
 TEXTS = [
     (1, " ".join(PROSE[:1] * 4)), (2, " ".join(PROSE[1:] * 4)), (3, None), (4, ""), (5, LONG), (6, LONG), (7, LONG.replace("word5 ", "WORD5 ") + " tail"), (8, "two words"), (9, "TWO  words"),
     (10, "日本語 text é x 😀 'tis  a\n\n test\t1234567 it's"), (11, "token=secret=abcdefghij AKIA" + "A" * 14 + " 😀 " + "0f" * 20 + ' password: token: abcdefgh api_key="12345678'), (12, "a a a a a a b"), (13, " \t\n "), (14, "!!! ### 123"),
-    (20, LONG), (20, LONG), (None, "no id here"), (15, "x" * 5000),
+    (20, LONG), (20, LONG), (None, "no id here"), (15, "x" * 5000), (16, "end <|endoftext|> and <|im_start|> on"),
 ]
 
 
@@ -75,6 +75,25 @@ def test_top_k_of_equal_vectors(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, 65536) for i in (0, 1, 2, 4)]
 
 
+def test_top_k_eliminates_in_grouped_vectors(spark, monkeypatch):
+    """Vectors in 30 tight groups: most blocks and candidates fall to the pivot table, and the result is exact."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    pick = np.random.default_rng(5)
+    middles = pick.normal(size=(30, 16))
+    made = np.floor(256 * (middles[np.arange(1500) % 30] + 0.02 * pick.normal(size=(1500, 16))).astype(np.float32).astype(float))
+    rows = spark.createDataFrame([(i, [float(x / 256) for x in v]) for i, v in enumerate(made)], "vec_id long, embedding array<double>").repartition(4)
+    got = topk.top_k(rows, secret_scan.F.col("vec_id") % 50 == 0, k=5).collect()
+    want = set()
+    for q in range(0, 1500, 50):
+        scores = made @ made[q]
+        order = [i for i in np.lexsort((np.arange(1500), -scores)) if i != q][:5]
+        want |= {(q, k + 1, int(i), int(scores[i])) for k, i in enumerate(order)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert all(r.candidates == 1500 for r in got) and sum(r.evaluated for r in got) < 0.3 * 1500 * len(got)
+
+
 def test_quality_rules(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()
     want = Counter()
@@ -174,7 +193,11 @@ def test_packing(spark, tables):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path(queries.DEFINITION))
-    own.encode_special_tokens = True
+    with open(public_tokenizers.path(queries.DEFINITION), encoding="utf-8") as definition:
+        encoded = tokenization.rank_encoder(definition.read())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|ENDOFTEXT|> <|endoftext", " <|endoftext|>  é"):
+        assert encoded(text) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids)
+    assert 50256 in own.encode("a <|endoftext|> b", add_special_tokens=False).ids
     got = queries.op5_packing(spark, tables).collect()
     by, bins = {}, {}
     for r in got:
@@ -232,6 +255,57 @@ def test_quality_model(spark, tables):
     model = quality_model.fitted(np.hstack([x] * len(quality_model.NAMES)), (x[:, 0] > 0.5).astype(float))
     assert model.share == 0.5 and all(w > 0 for w in model.weights[:-1])
     assert quality_model.fitted(x, np.ones(len(x))).share == 0.99
+    nothing = quality_model.fitted(np.empty((0, len(quality_model.NAMES))), np.empty(0))
+    assert nothing.share == 0.5 and not any(nothing.weights)
+
+
+def test_quality_model_without_labels_is_neutral(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({"__p": secret_scan.F.lit("mine"), "__h": secret_scan.F.lit(7)})
+    labels = spark.read.parquet(f"{tables}/labels.parquet").limit(0)
+    got = quality_model.classify(docs, labels, secret_scan.F.col("source"), secret_scan.F.col("lang"), p_col="p", score_col="found").collect()
+    assert len(got) == len(TEXTS) and all(abs(r.found - 0.5) < 1e-9 and abs(r.p - 0.5) < 1e-9 and r["__p"] == "mine" and r["__h"] == 7 for r in got)
+
+
+def test_quality_model_shrinks_sparse_sites(spark):
+    """Scores against a plain-Python posterior, with a large host, small ones and paths of one document."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    pick = random.Random(6)
+    rows = []
+    for i in range(400):
+        host = pick.choice(["big"] * 6 + ["mid", "mid", f"h{i}"])
+        path = pick.choice(["a", "b", f"p{i}"])
+        good = pick.random() < {"big": 0.8, "mid": 0.2}.get(host, 0.5)
+        text = " ".join(pick.choice(["river", "stone", "quiet", "harbour", "lantern"]) + str(pick.randrange(40)) * (not good) for _ in range(pick.randrange(5, 40))) + " ### |||" * (not good) * pick.randrange(3)
+        rows.append((i, text, host, path, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, quality int")
+    labels = docs.where("doc_id % 2 = 0").select("doc_id", "quality")
+    got = {r.doc_id: (r["__p"], r["__score"]) for r in quality_model.classify(docs, labels, F.col("host"), F.col("path")).collect()}
+    p = {i: x[0] for i, x in got.items()}
+    hosts, paths = {}, {}
+    for i, _, h, q, _ in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    mean = sum(p.values()) / len(p)
+
+    def strength(groups):
+        more = sum(((sum(v) / len(v) - m) ** 2 - m * (1 - m) / len(v)) * len(v) for v, m in groups if len(v) > 1)
+        whole = sum(m * (1 - m) * len(v) for v, m in groups if len(v) > 1)
+        return min(max(whole / more - 1, 2.0), 10_000.0) if more > 0 else 10_000.0
+
+    inside = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+    logit = lambda x: math.log(inside(x) / (1 - inside(x)))
+    of_host, of_path = strength([(v, mean) for v in hosts.values()]), strength([(v, inside(sum(hosts[h]) / len(hosts[h]))) for (h, _), v in paths.items()])
+    share = sum(r[4] for r in rows if r[0] % 2 == 0) / 200
+    for i, _, h, q, _ in rows:
+        at_host = (sum(hosts[h]) - p[i] + of_host * mean) / (len(hosts[h]) - 1 + of_host)
+        at_path = (sum(paths[h, q]) - p[i] + of_path * at_host) / (len(paths[h, q]) - 1 + of_path)
+        assert got[i][1] == pytest.approx(1 / (1 + math.exp(-(logit(p[i]) - logit(share) + logit(at_path)))), abs=1e-6)
+    held = [(got[r[0]][1], r[4]) for r in rows if r[0] % 2]
+    pairs = [(a > b) + (a == b) / 2 for a, x in held for b, y in held if x > y]
+    assert sum(pairs) / len(pairs) > 0.8  # area under the curve, on labels left out of the fit
 
 
 def test_warc(spark, tables):
@@ -349,3 +423,39 @@ def test_pipeline(spark, tables, empty):
     assert clean[11].text.count("[SECRET]") == 4 and clean[11].n_chars == len(clean[11].text) and clean[3].text is None
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert corpus_pipeline.run(spark, tables).columns[:2] == ["doc_id", "piece"]
+
+
+def test_near_duplicates_keeps_other_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (7, a + " tail"), (7, b), (9, c), (9, d), (9, d), (None, c), (None, "no id"), (None, "no id"), (4, None), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, group string, text_hash string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(3, a), (7, b), (9, c), (9, d), (None, "no id"), (4, None), (4, "")])
+
+
+def test_groups_bridged_by_unverified_pairs_stay_apart(spark, monkeypatch):
+    """Two groups whose members share much, but less than the limit, and one chain through which all link."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FIRST_MOST", 1)
+    pick = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    other = base[:76] + [f"v{i}" for i in range(24)]
+    rows = [(i, " ".join([*(base if i % 2 else other), f"end{i}"])) for i in range(30)]
+    for i in range(30, 60):  # each differs from the one before in one of the words
+        base = list(base)
+        base[pick.randrange(100)] = f"u{i}"
+        rows.append((i, " ".join(base)))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {i: root(i) for i in sets} and len({*got.values()}) > 1

@@ -1,7 +1,7 @@
 """A corpus cleaned and packed in stages. Each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All stages but the last return the columns of `docs`. Rows without an id pass the near-duplicate stage, since no
-link can name them; every other case is told in the operators' docstrings.
+All stages but the last return the columns of `docs`. What each does with null, empty and long texts, ties, repeated
+rows and empty tables is told in its docstring and its operator's.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querysift.llm import jaccard, packing, quality_model, quality_rules, secret_scan
-from querysift.llm.common import settled, shared_dir, table
+from querysift.llm.common import fresh, settled, shared_dir, table
 from querysift.llm.queries import DEFINITION
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of good quality, from text and site, reaches the limit."""
-    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    return scored.where(F.col("__score") >= quality_model.KEEP_FROM).select(*docs.columns)
+    """Documents whose probability of good quality, from text and site, reaches the limit.
+
+    Null and empty texts are judged like others; without labels the sites decide alone. Repeated rows stay or go
+    together, null ids are kept, empty tables give no rows."""
+    p, score = fresh(docs, "p", "score")
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), p_col=p, score_col=score)
+    return scored.where(F.col(score) >= quality_model.KEEP_FROM).select(*docs.columns)
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +35,21 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8)."""
-    groups = settled(jaccard.join(docs, words=5, percent=80))
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8).
+
+    Rows are told apart by id and text: rows that repeat both count once, and another text under the same id is a
+    document of its own. A row without an id takes one from its text, larger than usual ones."""
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    groups = settled(jaccard.join(docs, words=5, percent=80, id_col=own_id))
+    first = groups.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    others = groups.join(first, "group").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
+    a, b = fresh(docs, "own_id", "own_text")
+    among = lambda rows, of, how: rows.join(of.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)), (own_id == F.col(a)) & (F.xxhash64("text") == F.col(b)), how)
+    kept = among(docs, others, "left_anti")
+    again = settled(groups.groupBy("doc_id", "text_hash").count().where("count > 1"))
+    if again.isEmpty():
         return kept
-    unnamed = kept.where("doc_id is null")  # repeated rows count once; those without an id all stay
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
+    return among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ COLUMNS = (
     "query_count", "time_saved_ms", "fingerprint", "extra",
 )
 
+SCHEMA = (
+    "scope_id long, analyzer_ord int, first_seq long, pos int, issue_type string, severity string, description string, fix_suggestion string, file_path string, line_number int, "
+    "function_name string, query_count int, time_saved_ms double, fingerprint string, extra map<string, string>"
+)
+
 
 def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
@@ -26,9 +31,9 @@ def groups(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_callsite(found: DataFrame, captures: DataFrame) -> DataFrame:
-    """Groups with the callsite of their first member that has one."""
-    sites = captures.where("callsite is not null").select(F.col("scope_id").alias("__s"), F.col("seq").alias("__q"), "callsite")
-    return found.join(sites, (F.col("scope_id") == F.col("__s")) & (F.col("placed_seq") == F.col("__q")), "left").drop("__s", "__q")
+    """Groups with the callsite of their first member that has one; a null scope is one like others."""
+    sites = captures.where("callsite is not null").select(F.col("scope_id").alias("__s"), F.col("seq").alias("__q"), "callsite").dropDuplicates(["__s", "__q"])
+    return found.join(sites, F.col("scope_id").eqNullSafe(F.col("__s")) & (F.col("placed_seq") == F.col("__q")), "left").drop("__s", "__q")
 
 
 def saved(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -11,30 +12,45 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import config as conf
-from ..operators import complexity, duplicate, fat_select, missing_index, nplusone, queryset_eval, write_nplusone
+from .. import settings
+from ..operators import complexity, duplicate, fat_select, findings, missing_index, nplusone, queryset_eval, write_nplusone
+from ..settings import Settings
 from ..sources.catalog import Catalog
 
+logger = logging.getLogger(__name__)
+
 #: In which order findings are to be applied, and what severities weigh.
 APPLY_ORDER = {"n_plus_one": 0, "write_n_plus_one": 0, "duplicate_query": 1, "serializer_method_field": 1, "drf_serializer": 1, "missing_index": 2, "queryset_eval": 2, "complexity": 3, "fat_select": 4}
 RANKS = {"info": 0, "warning": 1, "critical": 2}
 PLUGINS = "querysift.analyzers"
 
-Analyzer = Callable[[DataFrame, Catalog, dict[str, Any]], DataFrame]
+#: Captures, catalog and the options that settings hold for it, to findings.
+Analyzer = Callable[..., DataFrame]
 BUILT_IN: dict[str, Analyzer] = {
-    "nplusone": lambda c, cat, k: nplusone.analyze(c, cat, conf.threshold(k, "nplusone")),
-    "duplicate": lambda c, cat, k: duplicate.analyze(c, conf.threshold(k, "duplicate")),
-    "missing_index": lambda c, cat, k: missing_index.analyze(c, cat),
-    "fat_select": lambda c, cat, k: fat_select.analyze(c, cat, conf.threshold(k, "fat_select")),
-    "queryset_eval": lambda c, cat, k: queryset_eval.analyze(c),
-    "complexity": lambda c, cat, k: complexity.analyze(c, conf.threshold(k, "complexity")),
-    "write_nplusone": lambda c, cat, k: write_nplusone.analyze(c, cat, conf.threshold(k, "write_nplusone")),
+    "nplusone": nplusone.analyze,
+    "duplicate": lambda c, cat, **k: duplicate.analyze(c, **k),
+    "missing_index": missing_index.analyze,
+    "fat_select": fat_select.analyze,
+    "queryset_eval": lambda c, cat, **k: queryset_eval.analyze(c, **k),
+    "complexity": lambda c, cat, **k: complexity.analyze(c, **k),
+    "write_nplusone": write_nplusone.analyze,
 }
 
 
 def analyzers() -> dict[str, Analyzer]:
-    """The built-in analyzers, then those of installed plugins."""
-    return BUILT_IN | {x.name: x.load() for x in entry_points(group=PLUGINS)}
+    """The built-in analyzers, then those of installed plugins; a plugin that cannot be loaded is skipped and logged."""
+    found = dict(BUILT_IN)
+    for plugin in entry_points(group=PLUGINS):
+        try:
+            run = plugin.load()
+        except Exception:  # whatever a plugin does, the others still run
+            logger.warning("analyzer %s cannot be loaded", plugin.name, exc_info=True)
+            continue
+        if callable(run):
+            found[plugin.name] = run
+        else:
+            logger.warning("analyzer %s is no function of captures and catalog", plugin.name)
+    return found
 
 
 def rank(severity: Column) -> Column:
@@ -45,13 +61,21 @@ def apply_rank(issue_type: Column) -> Column:
     return F.coalesce(*[F.when(issue_type == k, v) for k, v in APPLY_ORDER.items()], F.lit(2))
 
 
-def diagnose(captures: DataFrame, catalog: Catalog, over: dict[str, Any] | None = None, rules: list[tuple[str, str]] = ()) -> DataFrame:
+def diagnose(captures: DataFrame, catalog: Catalog, using: Settings | None = None, rules: list[tuple[str, str]] = (), also: dict[str, Analyzer] | None = None) -> DataFrame:
     """Findings of enriched captures. Rules drop findings, never captures; `apply_rank` is the place in order.
 
-    The captures feed every analyzer: hand over a written or persisted table when they are costly to derive."""
-    known = conf.merged(over)
-    found = [run(captures, catalog, known) for name, run in analyzers().items() if conf.enabled(known, name)]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    The captures feed every analyzer: hand over a written or persisted table when they are costly to derive. An analyzer
+    that raises while its plan is made is logged and skipped."""
+    known, found = using or settings.current(), [captures.sparkSession.createDataFrame([], findings.SCHEMA)]
+    for name, run in {**analyzers(), **(also or {})}.items():
+        if not known.runs(name):
+            continue
+        try:
+            own = run(captures, catalog, **known.options(name))
+            found.append(found[0].unionByName(own, allowMissingColumns=True))
+        except Exception:
+            logger.warning("analyzer %s failed", name, exc_info=True)
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found[1:] or found)
     return ignored(whole, captures, rules).withColumn("apply_rank", apply_rank(F.col("issue_type")))
 
 
@@ -78,7 +102,7 @@ def parse_rules(lines: list[str]) -> list[tuple[str, str]]:
 
 def read_rules(spark, path: str) -> list[tuple[str, str]]:
     """Rules of a file, one a line; the file is written by hand and small."""
-    return parse_rules([r.value for r in spark.read.text(path).limit(10_000).collect()])
+    return parse_rules([r.value for r in spark.read.text(path).collect()])
 
 
 def ignored(findings: DataFrame, captures: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

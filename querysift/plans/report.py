@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pipeline import rank
@@ -41,14 +41,43 @@ def ordering_note(findings: DataFrame) -> DataFrame:
     return kinds.select("scope_id", F.when(F.col("a") & F.col("b"), ORDERING_NOTE).otherwise("").alias("note"))
 
 
-def json_report(captures: DataFrame, findings: DataFrame) -> DataFrame:
-    """One JSON text a scope: version, summary, and the findings in order."""
+def json_report(captures: DataFrame, findings: DataFrame, at: Column | None = None, most: int = 10_000) -> DataFrame:
+    """One JSON text a scope: version, timestamp, summary, and the findings in order, an empty list if there are none.
+
+    Beyond `most` findings of a scope, the rest is counted in `prescriptions_left`, which is null otherwise."""
     location = F.when(F.col("file_path").isNotNull(), F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line"), F.col("function_name").alias("function")))
-    item = F.struct("ord", F.struct("issue_type", "severity", "description", "fix_suggestion", location.alias("location"), "query_count", "time_saved_ms").alias("finding"))
-    lists = ordered(findings).groupBy("scope_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["finding"]).alias("prescriptions"))
-    summary = scope_report(captures, findings).select("scope_id", F.struct("total_queries", "total_time_ms", "issues", "critical", "warning", "info").alias("summary"))
-    both = summary.join(lists, "scope_id", "left")
-    return both.select("scope_id", F.to_json(F.struct(F.lit(VERSION).alias("version"), "summary", "prescriptions")).alias("report"))
+    finding = F.struct("issue_type", "severity", "description", "fix_suggestion", location.alias("location"), "query_count", F.col("time_saved_ms").alias("estimated_savings_ms"))
+    lists = ordered(findings).where(F.col("ord") <= most).groupBy("scope_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", finding.alias("finding")))), lambda x: x["finding"]).alias("prescriptions"))
+    summary = F.struct("total_queries", "total_time_ms", F.col("issues").alias("issues_found"), "critical", F.col("warning").alias("warnings"), "info")
+    both = scope_report(captures, findings).join(lists, "scope_id", "left")
+    none = F.from_json(F.lit("[]"), lists.schema["prescriptions"].dataType)
+    made = F.date_format(at if at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    left = F.when(F.col("issues") > most, F.col("issues") - most)
+    whole = F.struct(F.lit(VERSION).alias("version"), made.alias("timestamp"), summary.alias("summary"), F.coalesce("prescriptions", none).alias("prescriptions"), left.alias("prescriptions_left"))
+    return both.select("scope_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def review_comment(captures: DataFrame, findings: DataFrame, title: str = "Query findings", most: int = 200) -> DataFrame:
+    """One comment for a code review a scope, in Markdown: each finding with its place, then how to mend them.
+
+    Beyond `most` findings the comment says how many more there are."""
+    place = F.when(F.col("file_path").isNotNull(), F.format_string(" (%s:%d)", "file_path", F.coalesce("line_number", F.lit(0)))).otherwise("")
+    line = F.concat(F.lit("- **"), F.upper("severity"), F.lit("**: "), "description", place)
+    fix = F.when(F.coalesce("fix_suggestion", F.lit("")) != "", F.concat(F.lit("- "), "fix_suggestion"))
+    listed = ordered(findings).where(F.col("ord") <= most).groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("line"), fix.alias("fix")))).alias("x"))
+    both = scope_report(captures, findings).select("scope_id", "issues").join(listed, "scope_id", "left")
+    lines = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    fixes = F.array_join(F.filter(F.transform("x", lambda x: x["fix"]), lambda x: x.isNotNull()), "\n")
+    more = F.when(F.col("issues") > most, F.format_string("\n- and %d more", F.col("issues") - most)).otherwise("")
+    found = F.concat(F.format_string(f"## {title}\n\nFound **%d** query issue(s):\n\n", "issues"), lines, more, F.lit("\n\n<details><summary>How to fix</summary>\n\n"), fixes, F.lit("\n\n</details>"))
+    return both.select("scope_id", F.when(F.col("issues") == 0, f"## {title}\n\nNo query issues found.").otherwise(found).alias("comment"))
+
+
+def ci_issues(findings: DataFrame) -> DataFrame:
+    """A flat list for scripts: severity, issue_type, message, suggestion, file, line and query_count of each finding."""
+    return findings.select(
+        "severity", "issue_type", F.col("description").alias("message"), F.col("fix_suggestion").alias("suggestion"), F.coalesce("file_path", F.lit("")).alias("file"), F.coalesce("line_number", F.lit(0)).alias("line"), "query_count",
+    )
 
 
 def group_key(strategy: str) -> Column:
@@ -60,12 +89,15 @@ def group_key(strategy: str) -> Column:
 
 
 def grouped(findings: DataFrame, strategy: str = "file_analyzer") -> DataFrame:
-    """Groups of findings: size, highest severity, first member, and a summary; most severe and largest first."""
+    """Groups of findings: size, highest severity and a summary by the first member; `ord` is their order, the most
+    severe and largest first, then the one met first."""
     first = F.struct("scope_id", "apply_rank", "analyzer_ord", "first_seq", "pos", "fingerprint", F.coalesce("file_path", F.lit("")).alias("file"), "description")
     out = findings.groupBy(group_key(strategy).alias("key")).agg(F.count("*").alias("count"), F.max(rank(F.col("severity"))).alias("rank"), F.min(first).alias("first"))
     many = F.concat(F.col("count").cast("string"), F.lit(" related issues in "), "first.file", F.lit(": "), "first.description", F.lit(" (and "), (F.col("count") - 1).cast("string"), F.lit(" more)"))
     severity = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("critical")), F.col("rank") + 1)
-    return out.select("key", "count", severity.alias("severity"), F.when(F.col("count") == 1, F.col("first.description")).otherwise(many).alias("summary"))
+    # Groups are places in code: as many as there are of those, however long the log.
+    place = F.row_number().over(Window.orderBy(F.desc("rank"), F.desc("count"), "first", "key"))
+    return out.select("key", "count", severity.alias("severity"), F.when(F.col("count") == 1, F.col("first.description")).otherwise(many).alias("summary"), place.alias("ord"))
 
 
 def issue_hash(findings: DataFrame) -> DataFrame:
@@ -87,9 +119,49 @@ def known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return issue_hash(findings).join(issue_hash(baseline).select("issue_hash").distinct(), "issue_hash", "left_semi")
 
 
-def save_baseline(findings: DataFrame, path: str) -> None:
-    """The findings as JSON lines, one file a partition."""
-    findings.select("issue_type", "severity", "description", "file_path", F.col("line_number").alias("line"), "fix_suggestion").write.mode("overwrite").json(path)
+def baseline_issues(findings: DataFrame) -> DataFrame:
+    return findings.select("issue_type", "severity", "description", "file_path", F.col("line_number").alias("line"), "fix_suggestion")
+
+
+def baseline_document(findings: DataFrame) -> DataFrame:
+    """One JSON text: version, issue_count and issues, in a fixed order. A baseline lists the known issues of one code
+    base; a larger list than a row may hold belongs in write_baseline's table form."""
+    item = F.struct("issue_type", "severity", "description", "file_path", "line", "fix_suggestion")
+    listed = baseline_issues(findings).agg(F.sort_array(F.collect_list(item)).alias("issues"))
+    whole = F.struct(F.lit(VERSION).alias("version"), F.size("issues").alias("issue_count"), "issues")
+    return listed.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_baseline(findings: DataFrame, path: str, table: bool = False) -> None:
+    """The findings as one JSON document, or with `table` as JSON lines written by all executors."""
+    if table:
+        baseline_issues(findings).write.mode("overwrite").json(path)
+    else:
+        baseline_document(findings).coalesce(1).write.mode("overwrite").text(path)
+
+
+class BaselineError(ValueError):
+    """A baseline that cannot be read."""
+
+
+_ISSUE = "struct<issue_type: string, analyzer: string, severity: string, description: string, message: string, file_path: string, callsite: struct<filepath: string>, line: int, fix_suggestion: string>"
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The issues of a baseline in either form, ready for regressions(), known() and resolved().
+
+    Another key for the kind, the place or the text stands in where the usual one is missing."""
+    try:
+        texts = spark.read.text(path, wholetext=True).select(F.from_json("value", f"version string, issues array<{_ISSUE}>", {"mode": "FAILFAST"}).alias("d"))
+        rows = texts.select(F.explode("d.issues").alias("i")) if texts.where("d.issues is not null").count() else spark.read.text(path).select(F.from_json("value", _ISSUE, {"mode": "FAILFAST"}).alias("i"))
+        out = rows.select(
+            F.coalesce("i.issue_type", "i.analyzer").alias("issue_type"), "i.severity", F.coalesce("i.description", "i.message").alias("description"),
+            F.coalesce("i.file_path", "i.callsite.filepath").alias("file_path"), F.col("i.line").alias("line_number"), "i.fix_suggestion",
+        )
+        out.limit(1).collect()
+    except Exception as e:
+        raise BaselineError(f"cannot read the baseline at {path}") from e
+    return out
 
 
 def module_of(path: Column) -> Column:
@@ -140,6 +212,83 @@ def project_overall(apps: DataFrame) -> DataFrame:
     return total.withColumn("color", color)
 
 
+def project_urls(captures: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each endpoint's app, methods, requests, queries, time, findings and mean time of a request."""
+    urls = captures.where("endpoint is not null").groupBy("app_name", "endpoint").agg(
+        F.array_join(F.array_sort(F.collect_set("http_method")), ",").alias("methods"), F.countDistinct("scope_id").alias("requests"), F.count("*").alias("queries"), F.sum("duration_ms").alias("time_ms"),
+    )
+    of = captures.select("scope_id", "app_name", "endpoint").distinct()
+    found = findings.join(of, "scope_id").groupBy("app_name", "endpoint").agg(F.count("*").alias("issues"), *severities())
+    filled = urls.join(found, ["app_name", "endpoint"], "left").na.fill(0, ["issues", "critical", "warning", "info"])
+    return filled.withColumn("mean_ms", F.col("time_ms") / F.col("requests"))
+
+
+def project_document(captures: DataFrame, findings: DataFrame, skipped: DataFrame | None = None, started: Column | None = None, finished: Column | None = None, most: int = 100) -> DataFrame:
+    """The whole project as one JSON text: summary, apps (least healthy first) with their endpoints, skipped endpoints.
+
+    An endpoint lists each of its findings once, `most` of them at most, by apply order; `prescriptions_left` counts
+    the others. The text grows with the number of endpoints, not with the log."""
+    stamp = lambda c: F.date_format(c if c is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    of = captures.select("scope_id", "app_name", "endpoint").distinct()
+    place = F.when(F.col("file_path").isNotNull(), F.concat_ws(":", "file_path", "line_number")).alias("location")
+    each = findings.join(of, "scope_id").groupBy("app_name", "endpoint", "issue_type", "severity", "description", "fix_suggestion", place).agg(F.min("apply_rank").alias("r"))
+    order = Window.partitionBy("app_name", "endpoint").orderBy("r", "issue_type", "description", "location", "fix_suggestion", "severity")
+    placed = each.withColumn("ord", F.row_number().over(order))
+    kinds = placed.groupBy("app_name", "endpoint").agg(F.count("*").alias("kinds"))
+    item = F.struct("issue_type", "severity", "description", "fix_suggestion", "location")
+    lists = placed.where(F.col("ord") <= most).groupBy("app_name", "endpoint").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("i")))), lambda x: x["i"]).alias("prescriptions"))
+    keys = ["app_name", "endpoint"]
+    urls = project_urls(captures, findings).join(lists, keys, "left").join(kinds, keys, "left")
+    none = F.from_json(F.lit("[]"), lists.schema["prescriptions"].dataType)
+    url = F.struct(
+        F.col("endpoint").alias("pattern"), "methods", "queries", "issues", F.round("mean_ms", 1).alias("duration_ms"), F.coalesce("prescriptions", none).alias("prescriptions"),
+        F.when(F.col("kinds") > most, F.col("kinds") - most).alias("prescriptions_left"),
+    )
+    by_app = urls.groupBy("app_name").agg(F.sort_array(F.collect_list(url)).alias("urls"))
+    apps = project_apps(captures, findings).withColumnRenamed("urls", "url_count").join(by_app, "app_name", "left")
+    app = F.struct(
+        F.col("app_name").alias("name"), F.round(F.col("health").cast("double"), 1).alias("health_score"), F.col("queries").alias("total_queries"), F.col("issues").alias("total_issues"),
+        F.col("critical").alias("critical_count"), F.col("warning").alias("warning_count"), "urls",
+    )
+    whole = apps.agg(
+        F.coalesce(F.sum("url_count"), F.lit(0)).alias("total_urls"), F.coalesce(F.sum("queries"), F.lit(0)).alias("total_queries"), F.coalesce(F.sum("issues"), F.lit(0)).alias("total_issues"), F.coalesce(F.sum("critical"), F.lit(0)).alias("critical"),
+        F.coalesce(F.sum("warning"), F.lit(0)).alias("warnings"), F.round(F.coalesce(F.avg("health"), F.lit(100.0)), 1).alias("health_score"), F.sort_array(F.collect_list(F.struct("health", "app_name", app.alias("a")))).alias("apps"),
+    )
+    if skipped is None:
+        skipped = captures.sparkSession.createDataFrame([], "endpoint string, skip_reason string")
+    left_out = skipped.agg(F.sort_array(F.collect_list(F.struct(F.col("endpoint").alias("pattern"), F.col("skip_reason").alias("reason")))).alias("skipped_urls"))
+    both = whole.join(F.broadcast(left_out))  # one row each
+    summary = F.struct("total_urls", "total_queries", "total_issues", "critical", "warnings", "health_score")
+    made = F.struct(stamp(started).alias("started_at"), stamp(finished).alias("finished_at"), summary.alias("summary"), F.transform("apps", lambda x: x["a"]).alias("apps"), "skipped_urls")
+    return both.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def app_extremes(apps: DataFrame) -> DataFrame:
+    """The least and the most healthy app; ties go to the smaller name."""
+    worst, best = F.min_by("app_name", F.struct("health", "app_name")), F.min_by("app_name", F.struct(-F.col("health"), F.col("app_name")))
+    return apps.agg(worst.alias("worst"), F.min("health").alias("worst_health"), best.alias("best"), F.max("health").alias("best_health"))
+
+
+def spans(captures: DataFrame, findings: DataFrame, most: int = 128) -> DataFrame:
+    """One tracing span a scope: three attributes, an event for each finding (`most` at most, in order), and the status."""
+    event = F.struct(F.col("issue_type").alias("name"), F.struct("severity", "description", "file_path", "line_number").alias("attributes"))
+    events = ordered(findings).where(F.col("ord") <= most).groupBy("scope_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", event.alias("e")))), lambda x: x["e"]).alias("events"))
+    both = scope_report(captures, findings).join(events, "scope_id", "left")
+    attributes = F.struct("total_queries", "total_time_ms", "issues")
+    return both.select("scope_id", F.lit("diagnosis").alias("name"), attributes.alias("attributes"), F.coalesce("events", F.from_json(F.lit("[]"), events.schema["events"].dataType)).alias("events"), F.when(F.col("has_critical"), "ERROR").otherwise("OK").alias("status"))
+
+
+def session_summary(captures: DataFrame, findings: DataFrame) -> DataFrame:
+    """Scopes observed, those without findings and those with."""
+    per = scope_report(captures, findings)
+    return per.agg(F.count("*").alias("observed"), count_if("issues = 0").alias("clean"), count_if("issues > 0").alias("with_findings"))
+
+
+def recorded_totals(captures: DataFrame, findings: DataFrame, most: int = 50) -> DataFrame:
+    """What the last reports hold together."""
+    return latest(captures, findings, most).agg(F.count("*").alias("reports"), F.coalesce(F.sum("total_queries"), F.lit(0)).alias("queries"), F.coalesce(F.sum("issues"), F.lit(0)).alias("issues"), count_if("issues > 0").alias("with_issues"))
+
+
 def annotations(findings: DataFrame) -> DataFrame:
     """One line for a code-review annotation per finding."""
     level = F.when(F.col("severity") == "critical", "error").otherwise("warning")

@@ -32,6 +32,14 @@ def console(findings: DataFrame, most: int = 1000) -> str:
     return "\n".join([f"[{r.severity.upper()}] {r.description}\n  at {_place(r)}\n  fix: {r.fix_suggestion}" for r in rows] + [left] * bool(left))
 
 
+def grouped_console(groups: DataFrame, queries: int, issues: int, most: int = 1000) -> str:
+    """Groups of findings as text, in their order."""
+    rows = groups.orderBy("ord").limit(most + 1).collect()
+    head = ["=" * 60, "Findings by group", f"Queries: {queries} | Groups: {groups.count()} | Findings: {issues}", "=" * 60]
+    body = [f"{r.severity.upper()}: {r.summary}" for r in rows[:most]] or ["No issues detected."]
+    return "\n".join(head + body + [f"{groups.count() - most} more groups are not shown"] * (len(rows) > most))
+
+
 def log(findings: DataFrame, logger: logging.Logger, most: int = 1000) -> None:
     rows, left = _first(findings, most)
     for k, r in enumerate(rows, 1):

@@ -105,9 +105,29 @@ def exists_and_first(s, d):
     return orders.agg((F.count("*") > 0).alias("any"), F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
+def bulk_create(s, d):
+    """Rows made in one statement, beside those that are there; ids that exist already are not made again."""
+    nation = _t(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    made = _t(s, d, "region").select((F.col("r_regionkey") + 23).cast("int").alias("n_nationkey"), F.concat(F.lit("NEW "), "r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey"))
+    return nation.unionByName(made.join(nation, "n_nationkey", "left_anti").select(nation.columns))
+
+
+def bulk_update(s, d):
+    """All rows of the table after one UPDATE with a condition."""
+    customer = _t(s, d, "customer")
+    raised = F.when(F.col("c_mktsegment") == "BUILDING", F.round(F.col("c_acctbal") * 2, 2)).otherwise(F.col("c_acctbal"))
+    return customer.select("c_custkey", raised.alias("c_acctbal"))
+
+
+def bulk_delete(s, d):
+    """What one DELETE by a condition on another table leaves."""
+    gone = _t(s, d, "customer").where("c_acctbal < 0").select("c_custkey")
+    return _t(s, d, "orders").join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+
+
 PLANS: dict[str, Plan] = {f"orm_{f.__name__}": f for f in (
     filter_exact, filter_chained, exclude, lookups, empty_in, q_nested, f_expression, case_when, order_limit_offset, distinct_values, values_list, select_related, select_related_deep,
-    prefetch_related, annotate_count, annotate_avg, aggregate_sum, related_filter, exists_and_first,
+    prefetch_related, annotate_count, annotate_avg, aggregate_sum, related_filter, exists_and_first, bulk_create, bulk_update, bulk_delete,
 )}
 SQL: dict[str, str] = {
     "orm_filter_exact": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'",
@@ -128,5 +148,8 @@ SQL: dict[str, str] = {
     "orm_annotate_avg": "SELECT c_mktsegment, round(avg(o_totalprice), 4) AS mean_price FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
     "orm_aggregate_sum": "SELECT round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem",
     "orm_related_filter": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE 'A%' OR n_regionkey = 1",
+    "orm_bulk_create": "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT (r_regionkey + 23)::INTEGER, 'NEW ' || r_name, r_regionkey FROM region WHERE r_regionkey + 23 NOT IN (SELECT n_nationkey FROM nation)",
+    "orm_bulk_update": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal * 2, 2) ELSE c_acctbal END AS c_acctbal FROM customer",
+    "orm_bulk_delete": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "orm_exists_and_first": "SELECT count(*) > 0 AS \"any\", count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_totalprice > 100000",
 }

@@ -14,6 +14,7 @@ predicted alike, null ids are kept, an empty table gives no rows; without labell
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,20 @@ from pyspark.sql import functions as F
 SAMPLE, GRAMS, LENGTH, HASHES = 4000, 20_000, 4, 3
 #: An n-gram belongs to a language where it is at least this share as frequent as in its main language.
 SHARE = 0.2
-_U = np.uint64
+_U, _MARK = np.uint64, 1 << 24
 
 
 @functools.cache
 def _folded() -> np.ndarray:
-    """For each code point its lower case if it is a letter, else 0."""
+    """For each code point its lower case if it is a letter, itself with a bit above if it is a mark that joins letters
+    (as vowel signs do), else 0."""
     out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             out[c] = ord(x.lower()) if len(x.lower()) == 1 else c
+        elif unicodedata.category(x)[0] == "M":
+            out[c] = c | _MARK
     return out
 
 
@@ -51,7 +55,7 @@ def grams(text: str | None, length: int = LENGTH) -> np.ndarray | None:
     Words shorter than an n-gram less its marks give themselves."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
     folded = _folded()[points]
-    if not folded.any():
+    if not ((folded > 0) & (folded < _MARK)).any():
         return None
     x = np.concatenate([[0], folded, [0]]).astype(_U)
     x = x[(x != 0) | np.concatenate([[True], x[:-1] != 0])]

@@ -15,7 +15,7 @@ labelled with its language pass this comparison, as do unlabelled ones of an inp
 Base rules: at least 50 words, and at most half of them in repeated 3-word windows.
 
 Null text has no words and fails the base rules. Rows are judged one by one: repeated rows alike, null ids are
-kept, other columns are not touched; an empty table gives no rows. Without any reference the base rules decide.
+kept, columns other than the documented new ones (`__rules`, `__base_failed`, both distances, `__kept`) are not touched; an empty table gives no rows. Without any reference the base rules decide.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -102,26 +102,26 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     spoken = F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda x: x != "")
+    w, dup, s, left, classes, counts = fresh(docs, "__w", "__dup", "__s", "__left", "__classes", "__counts")
     first = docs.withColumns({
-        "__w": let(words, counted),
-        "__dup": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "__s": let(spoken, lambda x: F.struct(F.size(x).alias("n"), F.concat(F.lit(" "), F.array_join(F.filter(x, lambda y: y.isin(*COMMON)), "  "), F.lit(" ")).alias("common"))),
+        w: let(words, counted),
+        dup: let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        s: let(spoken, lambda x: F.struct(F.size(x).alias("n"), F.concat(F.lit(" "), F.array_join(F.filter(x, lambda y: y.isin(*COMMON)), "  "), F.lit(" ")).alias("common"))),
     })
-    joined, common = F.col("__w.joined"), F.col("__s.common")
-    first = first.withColumn("__left", F.regexp_replace(joined, PLAIN, ""))
-    left = F.col("__left")
+    joined, common = F.col(w)["joined"], F.col(s)["common"]
+    first = first.withColumn(left, F.regexp_replace(joined, PLAIN, ""))
     second = first.withColumns({
-        "__classes": F.array(_taken(left, SYMBOLS), F.length(joined) - F.length(left), *[_taken(left, x) for x in CLASSES]).cast("array<long>"),
-        "__counts": F.array(*[((F.length(common) - F.length(F.replace(common, F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("long") for x in COMMON]),
+        classes: F.array(_taken(F.col(left), SYMBOLS), F.length(joined) - F.length(left), *[_taken(F.col(left), x) for x in CLASSES]).cast("array<long>"),
+        counts: F.array(*[((F.length(common) - F.length(F.replace(common, F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("long") for x in COMMON]),
     })
     rest = lambda whole, parts: F.concat(parts, F.array(whole.cast("long") - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)))
     made = F.struct(
-        F.col("__w.n_words").alias("n_words"), F.length(joined).cast("long").alias("word_chars"), F.get("__classes", F.lit(0)).alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
-        F.col("__w.n_repeat_words").alias("n_repeat_words"), rest(F.length(joined), F.col("__classes")).alias("classes"), rest(F.col("__s.n"), F.col("__counts")).alias("common"),
+        F.col(w)["n_words"].alias("n_words"), F.length(joined).cast("long").alias("word_chars"), F.get(classes, F.lit(0)).alias("n_symbols"), F.col(dup).alias("n_dup_lines"),
+        F.col(w)["n_repeat_words"].alias("n_repeat_words"), rest(F.length(joined), F.col(classes)).alias("classes"), rest(F.col(s)["n"], F.col(counts)).alias("common"),
         # Not deterministic, so the optimizer does not copy all this into each filter above.
         F.monotonically_increasing_id().alias("row"),
     )
-    return second.withColumn("__rules", made).drop("__w", "__dup", "__s", "__left", "__classes", "__counts")
+    return second.withColumn("__rules", made).drop(w, dup, s, left, classes, counts)
 
 
 def base_failed(limits: Limits = Limits()) -> Column:

@@ -125,20 +125,27 @@ class _Window:
 
 
 def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
-    """The record in the gzip member at `place` and where that ends; None if there is none."""
+    """The record in the gzip member at `place` and where that ends; None if there is none. A member that begins as a
+    record but breaks off or does not decode is an error: its record would be lost in silence."""
     decoded, out, at = zlib.decompressobj(31), bytearray(), place
     try:
         while not decoded.eof:
             part = window.from_(at)
             if not part:
-                return None
+                break
             out += decoded.decompress(part)
             at += len(part)
             if not out.startswith(b"WARC/1.") and len(out) >= 7:
                 return None
-    except zlib.error:
+    except zlib.error as e:
+        if out.startswith(b"WARC/1."):
+            raise ValueError(f"the record at byte {place} is damaged") from e
+        return None
+    if not out.startswith(b"WARC/1."):
         return None
-    return (bytes(out), at - len(decoded.unused_data)) if out.startswith(b"WARC/1.") else None
+    if not decoded.eof:
+        raise ValueError(f"the record at byte {place} breaks off")
+    return bytes(out), at - len(decoded.unused_data)
 
 
 def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:

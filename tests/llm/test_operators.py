@@ -246,6 +246,23 @@ def test_language_is_learned(spark):
     assert model.decide("kala kala")[0] == "aa" and model.decide("ZRUG!")[0] == "bb" and model.decide("42") == ("und", 0.0)
 
 
+def test_language_of_held_out_documents(spark):
+    """Predictions of the query on the smallest tables, against the languages of documents it has not learned from."""
+    import os
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("needs the test tables")
+    true = {r.doc_id: r.lang for r in spark.read.parquet(f"{at}/documents.parquet").where("lang is not null and text rlike '[a-z]{3}'").collect()}
+    held = [r for r in queries.op6_language(spark, at).collect() if r.held_out and r.doc_id in true]
+    assert len(held) > 20 and sum(r.lang_pred == true[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_vowel_signs_do_not_cut_words():
+    assert langid.grams("\u0915\u093f\u0924\u093e\u092c") is not None and len(langid.grams("\u0915\u093f\u0924\u093e\u092c")) > 2
+    assert langid.grams("\u093f 12") is None
+
+
 def test_quality_model(spark, tables):
     import numpy as np
 
@@ -322,6 +339,19 @@ def test_warc(spark, tables):
     assert Counter(tuple(r) for r in queries.op8_warc(spark, tables).collect()) == want
 
 
+def test_a_torn_or_damaged_record_is_an_error():
+    import io
+
+    made = [warc.record(i, "u", str(i).encode() * 9000, warc.sha1_base32(str(i).encode() * 9000), None) for i in range(3)]
+    whole = b"".join(made)
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.records_in(io.BytesIO(whole[:-9]), len(whole) - 9, 0, len(whole)))
+    middle = len(made[0]) + len(made[1]) - 12
+    damaged = whole[:middle] + b"\xff" * 8 + whole[middle + 8 :]
+    with pytest.raises(ValueError, match="damaged|digest|breaks off"):
+        [warc.parsed(x) for x in warc.records_in(io.BytesIO(damaged), len(damaged), 0, len(damaged))]
+
+
 def test_ranges_own_each_record_once():
     import io
 

@@ -28,10 +28,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and stay near a language reference."""
-    featured = quality_rules.features(docs)
+    """Documents that pass the base rules and stay near a language reference.
+
+    Null and empty texts fail the base rules. Repeated rows stay or go together, null ids are kept, empty tables give no
+    rows."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # apart from the operator's own columns
+    featured = quality_rules.features(docs.select(whole, "text", "lang"))
     found = quality_rules.references(settled(featured.select("lang", "__rules")))
-    return quality_rules.verdicts(featured, found).where("__kept").select(*docs.columns)
+    return quality_rules.verdicts(featured, found).where("__kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querysift.llm import jaccard, packing, quality_model, quality_rules, secret_scan
-from querysift.llm.common import fresh, settled, shared_dir, table
+from querysift.llm.common import fresh, settled, shared_dir, table, written
 from querysift.llm.queries import DEFINITION
 
 
@@ -33,9 +33,8 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null and empty texts fail the base rules. Repeated rows stay or go together, null ids are kept, empty tables give no
     rows."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # apart from the operator's own columns
-    featured = quality_rules.features(docs.select(whole, "text", "lang"))
-    found = quality_rules.references(settled(featured.select("lang", "__rules")))
-    return quality_rules.verdicts(featured, found).where("__kept").select("doc.*")
+    featured = written(quality_rules.features(docs.select(whole, "text", "lang")).drop("text"))
+    return quality_rules.verdicts(featured, quality_rules.references(featured)).where("__kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

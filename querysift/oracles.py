@@ -120,12 +120,12 @@ CTES = {
     "of": "SELECT DISTINCT scope_id, app_name, endpoint FROM cq",
     "ordered": "SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY apply_rank, analyzer_ord, first_seq, pos, fingerprint) AS ord FROM findings",
     "per_scope": f"SELECT scope_id, total_queries, coalesce(issues, 0) AS issues, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info FROM (SELECT scope_id, count(*) AS total_queries FROM cq GROUP BY 1) LEFT JOIN (SELECT scope_id, count(*) AS issues, {_COUNTS} FROM findings GROUP BY 1) USING (scope_id)",
-    "site_lines": "SELECT file_path AS file, line, min('    ' || code) AS before FROM cq WHERE file_path IS NOT NULL GROUP BY ALL",
-    "changes": """SELECT *, issue_type IN ('queryset_eval', 'duplicate_query', 'missing_index') AS writable, row_number() OVER (PARTITION BY file ORDER BY line DESC, issue_type, description, after)::INTEGER AS ord FROM (
+    "site_lines": "SELECT file_path AS file, line, CASE WHEN line % 2 = 1 THEN coalesce(min('    ' || code) FILTER (WHERE starts_with(code, 'if ')), max('    ' || code)) ELSE max('    ' || code) END AS before FROM cq WHERE file_path IS NOT NULL GROUP BY file_path, line",
+    "changes": r"""SELECT *, issue_type IN ('queryset_eval', 'duplicate_query', 'missing_index') AS writable, row_number() OVER (PARTITION BY file ORDER BY line DESC, issue_type, description, after)::INTEGER AS ord FROM (
   SELECT l.file, l.line, before, issue_type, description, CASE issue_type WHEN 'n_plus_one' THEN before || nullif(CASE WHEN fix LIKE '%.select_related(%' THEN regexp_extract(fix, '\.select_related\([^)]*\)') ELSE regexp_extract(fix, '\.prefetch_related\([^)]*\)') END, '')
     WHEN 'fat_select' THEN before || nullif(CASE WHEN fix LIKE '%.only(%' THEN regexp_extract(fix, '\.only\([^)]*\)') ELSE regexp_extract(fix, '\.defer\([^)]*\)') END, '')
     WHEN 'duplicate_query' THEN '    # TODO: Cache this query result to avoid duplicate execution' || chr(10) || before WHEN 'missing_index' THEN '    # TODO: Consider adding an index via Meta.indexes - ' || fix || chr(10) || before
-    WHEN 'queryset_eval' THEN regexp_replace(CASE WHEN contains(lower(fix), 'count()') THEN regexp_replace(before, 'len\((\w+)\)', '\1.count()') ELSE before END, CASE WHEN contains(lower(fix), 'exists()') THEN 'if\s+(\w+)\s*:' ELSE 'no such text' END, 'if \1.exists():') END AS after
+    WHEN 'queryset_eval' THEN regexp_replace(CASE WHEN contains(lower(fix), 'count()') THEN regexp_replace(before, 'len\((\w+)\)', '\1.count()') ELSE before END, CASE WHEN contains(lower(fix), 'exists()') THEN 'if\s+(\w+)\s*:' ELSE 'no such (text)' END, 'if \1.exists():') END AS after
   FROM (SELECT DISTINCT file_path AS file, line_number AS line, issue_type, description, fix_suggestion AS fix FROM findings WHERE file_path IS NOT NULL AND coalesce(fix_suggestion, '') <> '') f JOIN site_lines l ON f.file = l.file AND f.line = l.line) WHERE after <> before""",
     "lived": """SELECT process_id, seq, fp, raw, n, CASE WHEN n = 1 OR n > bad THEN 'miss' WHEN n = bad THEN 'poison' WHEN n <= 4 THEN 'validate' ELSE 'trusted' END AS state FROM (
   SELECT *, min(CASE WHEN n BETWEEN 2 AND 4 AND raw <> first_raw THEN n END) OVER (PARTITION BY process_id, fp) AS bad FROM (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,31 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of written() and weak references to what every plan that reads them holds.
+_WRITTEN: dict[str, JavaObject] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: like settled(), but compressed, and readers take single columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """`df` as a Parquet table in the shared folder: like settled(), but compressed, and readers take single columns.
+
+    swept() deletes it once neither it nor a DataFrame made of it is left."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation())
+    return out
+
+
+def swept(spark: SparkSession) -> None:
+    """Has the driver notice which shuffles and written tables no plan needs any more, and their files deleted; else they
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    for path in [p for p, relation in _WRITTEN.items() if relation.get() is None]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _WRITTEN[path]
 
 
 def let(value: Column, body) -> Column:

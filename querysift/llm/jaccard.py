@@ -29,7 +29,6 @@ Rows with a null id take no part. Empty tables give no rows.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import math
 import uuid
@@ -43,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, shared_dir
+from .common import settled, shared_dir, swept
 
 #: Members of a block and their tokens; cells of the token counts: CELLS_A_DOCUMENT for each, at most MOST_CELLS (2 MB of
 #: bits). They bound a task's memory and what is broadcast.
@@ -161,10 +160,7 @@ class _Store:
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def sweep(self) -> None:
-        """Has the driver notice which shuffles no plan needs any more, so that executors delete their files; else they
-        stay until the driver happens to collect its garbage."""
-        gc.collect()
-        self._spark._jvm.System.gc()
+        swept(self._spark)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, orders: int, crowded: Broadcast) -> DataFrame:

@@ -489,3 +489,27 @@ def test_groups_bridged_by_unverified_pairs_stay_apart(spark, monkeypatch):
                 parent[max(x, y)] = min(x, y)
     got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     assert got == {i: root(i) for i in sets} and len({*got.values()}) > 1
+
+
+def test_written_tables_go_with_their_last_reader(spark, tables):
+    import time
+    from pathlib import Path
+
+    import corpus_pipeline
+    from querysift.llm import common
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    there = lambda: {p.name for p in folder.glob("table-*")}
+    before = there()
+    made = corpus_pipeline.quality_rule_filter(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables).select("doc_id")
+    new = there() - before
+    for _ in range(3):
+        common.swept(spark)
+    assert new and new <= there() and made.count() >= 0
+    del made
+    for _ in range(50):
+        common.swept(spark)
+        if not new & there():
+            return
+        time.sleep(0.1)
+    raise AssertionError("the table of the rules' features is still there")

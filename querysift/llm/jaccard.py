@@ -11,13 +11,13 @@ passages stay out of the prefixes. No step makes all pairs of a group:
 3. Classes that share a token of the first order's prefix meet. Up to FEW at a token are paired there, where their
    lengths and the token's places allow it. More meet at spots, one for all tokens with the same smallest class, cut
    by size; there the smallest class is paired with each other one.
-4. A pair passes if the prefixes in every order allow it, each by itself and all together: the filters are intersected,
-   and only then texts are fetched, those of pairs that passed, and the whole sets compared. Links that hold give the
-   first components.
+4. A pair passes if the parities of the whole sets (a few bits a token) allow it, and the prefixes in every order, each by
+   itself and all together: the filters are intersected, and only then texts are fetched, those of pairs that passed, and
+   the whole sets compared. Links that hold give the first components.
 5. Spots whose members are of several components are looked at again. Large ones get other centres. Then each
    member outside the component of its spot's first class is tried with all members of other components, in blocks;
-   of the pairs that pass the filters its best few are verified, and more of them in each further round until none
-   is left. So all pairs that pass are verified, but for those that verified links join already.
+   of the pairs that the parities allow its best few go on as in step 4, and more of them in each further round until
+   none is left. So all pairs that pass are verified, but for those that verified links join already.
 6. Components are those of verified links only.
 
 Words are maximal runs without ASCII white space, A-Z in lower case. A document with fewer words than a shingle
@@ -52,6 +52,8 @@ BLOCK, BLOCK_TOKENS, CELLS_A_DOCUMENT, MOST_CELLS = 1024, 1 << 22, 16, 1 << 24
 FEW, PARTNERS, TURNS, FIRST_MOST = 16, 256, 3, 4
 #: Cells go in chunks of this many; a cell is crowded beyond the mean by CROWDED and six times the mean's root.
 CHUNK, CROWDED = 1 << 14, 32
+#: Parities kept of a set: as many bits as the power of 2 from twice its size on, and this many at least.
+LEAST_BITS = 256
 _U = np.uint64
 
 
@@ -164,29 +166,45 @@ class _Store:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, orders: int, crowded: Broadcast) -> DataFrame:
-    """doc_id, text_hash, set_id (16 bytes that stand for the set), n_shingles and head: the prefixes in all orders, that
-    of the first as whole places, those of the others as the upper half of theirs."""
+    """doc_id, text_hash, set_id (16 bytes that stand for the set), n_shingles, parities and head: the prefixes in all
+    orders, that of the first as whole places, those of the others as the upper half of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, heads = [], [], []
+            ids, sizes, parities, heads = [], [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), words)
                 sizes.append(len(tokens))
                 ids.append(_digest(tokens) if len(tokens) else None)
                 made = [_prefix(tokens, crowded.value, k, percent, orders) for k in range(orders)] if len(tokens) else None
                 heads.append(b"".join([made[0].tobytes(), *[(x >> _U(32)).astype(np.uint32).tobytes() for x in made[1:]]]) if made else None)
-            made = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_hash", "set_id", "n_shingles", "head"])
+                parities.append(_parities(tokens).tobytes() if made else None)
+            made = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(heads, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_hash", "set_id", "n_shingles", "parities", "head"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary"), F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set_id binary, n_shingles long, head binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set_id binary, n_shingles long, parities binary, head binary")
 
 
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """For each cell of tokens, by their lowest bits, whether it holds an odd number of them, as bits."""
+    cells = max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _folded(parities: np.ndarray, length: int) -> np.ndarray:
+    """The same sets' parities in fewer cells: the halves together are those in half as many."""
+    while parities.shape[-1] > length:
+        half = parities.shape[-1] // 2
+        parities = parities[..., :half] ^ parities[..., half:]
+    return parities
+
+
 def _parts(n: int, head: bytes, percent: int) -> list[np.ndarray]:
     """The prefixes of a head, by order."""
     p = prefix_length(n, percent)
@@ -202,6 +220,13 @@ def _alike_in_size(a, b, percent: int):
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def _may_be_near(x: np.ndarray, y: np.ndarray, a, b, percent: int):
+    """Whether sets of a and b tokens can reach the similarity, by their parities, of equal lengths: a cell in which they
+    differ holds at least one token that only one of the sets has."""
+    differ = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return _alike_in_size(a, b, percent) & _enough(a + b - differ, 2 * (a + b), percent), differ
+
+
 def _may_link(x: list[np.ndarray], y: list[np.ndarray], a: int, b: int, percent: int) -> bool:
     """Whether sets of a and b tokens can reach the similarity, by their prefixes in all orders together.
 
@@ -248,20 +273,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
     return groupby(rows, key=lambda r: r[:keys])
 
 
-def _overlaps(sets: list[np.ndarray], left: range, right: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each set of `left`, the sets of `right` that share an element with it, and how many they share."""
-    everything = np.concatenate([sets[i] for i in right]) if len(right) else np.empty(0, _U)
-    owner = np.repeat(np.fromiter(right, np.int64, len(right)), [len(sets[i]) for i in right])
-    order = np.argsort(everything, kind="stable")
-    everything, owner = everything[order], owner[order]
-    for i in left:
-        low, high = np.searchsorted(everything, sets[i], "left"), np.searchsorted(everything, sets[i], "right")
-        n = high - low
-        if n.any():
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            yield i, *np.unique(owner[at], return_counts=True)
-
-
 def _tested(pairs: DataFrame, payloads: DataFrame, prepare, test) -> DataFrame:
     """The pairs (a, b) for which test(x, y) holds; x and y come from prepare(n, data) of the payloads (key, n, data).
 
@@ -293,33 +304,69 @@ def _tested(pairs: DataFrame, payloads: DataFrame, prepare, test) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the filters of all orders."""
+def _cells(wanted: DataFrame, column: str) -> tuple[Column, Broadcast]:
+    """The cell of a row by the hash of that column, and a broadcast bitmap, bounded in size, of those of wanted rows."""
+    cells = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * wanted.count()))), np.log2(CHUNK), np.log2(MOST_CELLS)))
+    cell = F.pmod(F.xxhash64(column), F.lit(cells))
+    held = wanted.groupBy(F.floor(cell / CHUNK).cast("int").alias("chunk")).agg(F.collect_set((cell % CHUNK).cast("int")).alias("cells"))
+    bits = np.zeros(cells, bool)
+    for r in held.collect():  # MOST_CELLS numbers at most
+        bits[r.chunk * CHUNK + np.array(r.cells)] = True
+    return cell, wanted.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+
+def _held(shared: Broadcast, cells: pa.Array) -> pa.Array:
+    at = cells.to_numpy()
+    return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+
+def _among(classes: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """key, n and data (the column) of the classes whose key is wanted, and few others: so most stay where they are."""
+    cell, shared = _cells(wanted, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_held(shared, batch.column(3))).select(["key", "n", "data"])
+
+    rows = classes.select("key", F.col("n_shingles").alias("n"), F.col(column).alias("data"), cell.alias("cell"))
+    return rows.mapInArrow(run, "key long, n long, data binary")
+
+
+def _passed(store: _Store, pairs: DataFrame, classes: DataFrame, column: str, prepare, test) -> DataFrame:
+    """The stored pairs for which test(x, y) holds of what prepare(n, data) makes of the column, stored in their place."""
+    wanted = store.put(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    out = store.put(_tested(pairs, _among(classes, wanted, column), prepare, test))
+    store.drop(pairs, wanted)
+    store.sweep()
+    return out
+
+
+def _by_parities(store: _Store, candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The candidates that the parities allow, stored."""
 
     def test(x: tuple, y: tuple) -> bool:
         (a, u), (b, v) = x, y
-        return bool(_alike_in_size(a, b, percent)) and _may_link(u, v, a, b, percent)
+        length = min(len(u), len(v))
+        return bool(_may_be_near(_folded(u, length), _folded(v, length), a, b, percent)[0])
+
+    return _passed(store, store.put(candidates.distinct()), classes, "parities", lambda n, data: (n, np.frombuffer(data, np.uint8)), test)
+
 
-    payloads = classes.select("key", F.col("n_shingles").alias("n"), F.col("head").alias("data"))
-    return _tested(pairs, payloads, lambda n, head: (n, _parts(n, head, percent)), test)
+def _by_prefixes(store: _Store, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The stored pairs that the prefixes of all orders allow, stored in their place."""
+    test = lambda x, y: _may_link(x[1], y[1], x[0], y[0], percent)
+    return _passed(store, pairs, classes, "head", lambda n, head: (n, _parts(n, head, percent)), test)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """key, n and data (the text) of the wanted classes (key, doc_id, set_id).
 
-    A broadcast bitmap of their ids, bounded in size, keeps most other texts from the shuffle."""
-    cells = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * wanted.count()))), np.log2(CHUNK), np.log2(MOST_CELLS)))
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells))
-    held = wanted.groupBy(F.floor(cell / CHUNK).cast("int").alias("chunk")).agg(F.collect_set((cell % CHUNK).cast("int")).alias("cells"))
-    bits = np.zeros(cells, bool)
-    for r in held.collect():  # MOST_CELLS numbers at most
-        bits[r.chunk * CHUNK + np.array(r.cells)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    A bitmap of their ids keeps most other texts from the shuffle."""
+    cell, shared = _cells(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(_held(shared, batch.column(2)))
             made = [shingles(x.as_py(), words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) if len(x) else None for x in made], pa.binary()), batch.column(1)], names=["doc_id", "set_id", "data"])
 
@@ -388,12 +435,12 @@ def _stars(named: DataFrame, spots: DataFrame, turn: int) -> DataFrame:
     outside = named.join(spots, ["place", "size"]).where("component <> main")
     chosen = outside.groupBy("place", "size").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(turn))).alias("centre"))
     pairs = named.join(chosen, ["place", "size"]).where("component <> centre.component")
-    return pairs.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
+    return pairs.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b"))
 
 
-def _across(named: DataFrame, asked: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+def _across(named: DataFrame, asked: DataFrame, parities: DataFrame, percent: int, most: int) -> DataFrame:
     """place, size, a, b: for each asked member (place, size, key) up to `most` members of other components with which
-    it passes the filters, those that share most first, and a row with null b if there are more."""
+    the parities allow a link, those that differ least first, and a row with null b if there are more."""
     spot = ["place", "size"]
     blocks = lambda df, name: df.groupBy(*spot).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias(name))
     asked = asked.join(named, [*spot, "key"])
@@ -402,23 +449,31 @@ def _across(named: DataFrame, asked: DataFrame, classes: DataFrame, percent: int
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(dealt, spot).select(*spot, place("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), "key", "component")
     right = named.join(dealt, spot).select(*spot, every("rows").alias("row"), place("columns").alias("column"), F.lit(1).alias("side"), "key", "component")
-    rows = left.unionByName(right).join(classes.select("key", "n_shingles", "head"), "key").select(*spot, "row", "column", "side", "key", "component", "n_shingles", "head")
+    rows = left.unionByName(right).join(parities, "key").select(*spot, "row", "column", "side", "key", "component", "n", "data")
     rows = rows.repartition(*spot, "row", "column").sortWithinPartitions(*spot, "row", "column", "side", "key")
 
     def found(group: list[tuple]) -> Iterator[tuple]:
         keys, of, sizes = (np.array([r[k] for r in group], np.int64) for k in (5, 6, 7))
-        heads = [_parts(r[7], r[8], percent) for r in group]
-        n_left, lengths = sum(r[4] == 0 for r in group), np.array([len(x[0]) for x in heads])
-        for i, others, shared in _overlaps([x[0] for x in heads], range(n_left), range(n_left, len(group))):
-            rest = np.maximum(sizes[i] - lengths[i], sizes[others] - lengths[others])
-            use = (of[others] != of[i]) & _alike_in_size(sizes[i], sizes[others], percent) & _enough(shared + rest, sizes[i] + sizes[others], percent)
-            got = 0
-            for j in others[use][np.argsort(-shared[use], kind="stable")].tolist():
-                if _may_link(heads[i], heads[j], int(sizes[i]), int(sizes[j]), percent):
-                    got += 1
-                    yield int(keys[i]), int(keys[j]) if got <= most else None
-                    if got > most:
-                        break
+        bits = [np.frombuffer(r[8], np.uint8) for r in group]
+        left, right = (np.array([i for i, r in enumerate(group) if r[4] == side], np.int64) for side in (0, 1))
+        lengths = np.array([len(x) for x in bits])
+        same = [right[lengths[right] == n] for n in np.unique(lengths[right])]
+        of_length = [np.stack([bits[j] for j in js]) for js in same]
+        folded = functools.cache(lambda k, length: _folded(of_length[k], length))
+        for i in left:
+            others, differ = [], []
+            for k, js in enumerate(same):
+                length = min(lengths[i], of_length[k].shape[1])
+                near, by = _may_be_near(folded(k, length), _folded(bits[i], length), sizes[js], sizes[i], percent)
+                near &= of[js] != of[i]
+                others.append(js[near])
+                differ.append(by[near])
+            if not same or not (n := sum(map(len, others))):
+                continue
+            best = np.concatenate(others)[np.argsort(np.concatenate(differ), kind="stable")][:most]
+            yield from ((int(keys[i]), int(keys[j])) for j in best)
+            if n > most:
+                yield int(keys[i]), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in _grouped(batches, 4):
@@ -454,10 +509,9 @@ def _linked(store: _Store, classes: DataFrame, docs: DataFrame, words: int, perc
     edges: list[DataFrame] = []
     names: DataFrame | None = None
 
-    def verify(candidates: DataFrame) -> DataFrame | None:
-        """The components after the candidates' links have joined those known."""
-        passed = store.put(candidates)
-        store.sweep()
+    def verify(near: DataFrame) -> DataFrame | None:
+        """The components after the links among stored pairs have joined those known; the pairs are dropped."""
+        passed = _by_prefixes(store, near, classes, percent)
         found = None if passed.isEmpty() else _verified(store, passed, classes, docs, words, percent)
         store.drop(passed)
         if found is None or found.isEmpty():
@@ -467,25 +521,32 @@ def _linked(store: _Store, classes: DataFrame, docs: DataFrame, words: int, perc
 
     firsts = members.groupBy("place", "size").agg(F.min("key").alias("a"))
     stars = members.join(firsts, ["place", "size"]).where("key <> a").select("a", F.col("key").alias("b"))
-    names = verify(_filtered(pairs.unionByName(stars).distinct(), classes, percent))
+    names = verify(_by_parities(store, pairs.unionByName(stars), classes, percent))
+    store.drop(pairs)
     for turn in range(TURNS):
         now = _named(members, names)
         spots = store.put(_divided(now, BLOCK))
         if spots.isEmpty():
             break
-        names = verify(_filtered(_stars(now, spots, turn), classes, percent))
+        names = verify(_by_parities(store, _stars(now, spots, turn), classes, percent))
+        store.drop(spots)
     asked, most = None, FIRST_MOST
     while True:
         now = _named(members, names)
         spots = store.put(_divided(now, 2))
-        inside = now.join(spots, ["place", "size"])
+        inside = store.put(now.join(spots, ["place", "size"]))
+        store.drop(spots)
+        if inside.isEmpty():
+            return names
         wanted = inside.where("component <> main").select("place", "size", "key")
         if asked is not None:
             wanted = wanted.select("place", "size").distinct().join(asked, ["place", "size"])
-        found = store.put(_across(inside.drop("main"), wanted, classes, percent, most))
+        found = store.put(_across(inside.drop("main"), wanted, _among(classes, inside.select("key").distinct(), "parities"), percent, most))
         asked = store.put(found.where("b is null").select("place", "size", F.col("a").alias("key")).distinct())
-        names = verify(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        store.drop(found, spots)
+        near = store.put(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        store.sweep()
+        names = verify(near)
+        store.drop(found, inside)
         if asked.isEmpty():
             return names
         most *= 16
@@ -503,8 +564,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, orders: int = 3, id
     found = store.put(_sets(docs, words, percent, orders, crowded))
     firsts = found.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     classes = found.join(firsts, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"])
-    classes = store.put(classes.select("doc_id", "set_id", "n_shingles", "head", F.monotonically_increasing_id().alias("key")))
-    documents = store.put(found.drop("head"))
+    classes = store.put(classes.select("doc_id", "set_id", "n_shingles", "parities", "head", F.monotonically_increasing_id().alias("key")))
+    documents = store.put(found.drop("parities", "head"))
     store.drop(found)
     store.sweep()
     names = _linked(store, classes, docs, words, percent)

@@ -491,6 +491,45 @@ def test_groups_bridged_by_unverified_pairs_stay_apart(spark, monkeypatch):
     assert got == {i: root(i) for i in sets} and len({*got.values()}) > 1
 
 
+def test_parities_refuse_no_similar_sets():
+    import numpy as np
+
+    pick = np.random.default_rng(6)
+    refused = 0
+    for n in (1, 2, 7, 60, 127, 129, 400, 3000):
+        for _ in range(60):
+            x = np.unique(pick.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[pick.random(len(x)) > pick.random() / 4], pick.integers(0, 2**63, pick.integers(0, n // 4 + 2)).astype(np.uint64)]))
+            if not len(y):
+                continue
+            u, v = jaccard._parities(x), jaccard._parities(y)
+            length = min(len(u), len(v))
+            may, differ = jaccard._may_be_near(jaccard._folded(u, length), jaccard._folded(v, length), len(x), len(y), 85)
+            common = len(np.intersect1d(x, y))
+            assert differ <= len(x) + len(y) - 2 * common
+            similar = 100 * common >= 85 * (len(x) + len(y) - common)
+            assert may or not similar
+            refused += not may and not similar
+    assert refused > 150
+
+
+def test_few_dissimilar_pairs_of_a_group_reach_the_texts(spark, monkeypatch):
+    """Each of 25 texts differs from one base in 5 words of its own: all pairs are near (0.82 to 0.84), none is similar."""
+    texts = []
+    for i in range(25):
+        own = [f"w{k}" for k in range(400)]
+        for at in range(3 * i + 3, 400, 80):
+            own[at] = f"v{i}x{at}"
+        texts.append(own)
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in texts]
+    assert not any(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    seen, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda store, pairs, *rest: (seen.append(pairs.count()), verified(store, pairs, *rest))[1])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs, 4, 85).collect()} == {i: i for i in range(25)}
+    assert sum(seen) <= 60, seen  # of 300
+
+
 def test_written_tables_go_with_their_last_reader(spark, tables):
     import time
     from pathlib import Path

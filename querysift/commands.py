@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import fixes, turbo
 from .plans import deliver, gate, report, sinks
-from .plans.enrich import enrich
+from .plans.enrich import known
 from .plans.pipeline import diagnose, read_rules
 from .sources import captures, serializers
 from .sources.catalog import Catalog
@@ -33,7 +33,7 @@ def changed_files(ref: str, root: str = ".") -> set[str]:
 
 
 def _log(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return enrich(gate.admitted(captures.read_log(spark, a.log, a.kind))).persist()
+    return known(gate.admitted(captures.read_log(spark, a.log, a.kind)))
 
 
 def _filtered(found: DataFrame, a: argparse.Namespace) -> DataFrame:
@@ -48,8 +48,8 @@ def _compared(spark: SparkSession, found: DataFrame, a: argparse.Namespace) -> t
         report.write_baseline(found, a.save_baseline)
     if not a.baseline:
         return found, "", False
-    known = report.read_baseline(spark, a.baseline)
-    new, gone = report.regressions(found, known), report.resolved(found, known)
+    base = report.read_baseline(spark, a.baseline)
+    new, gone = report.regressions(found, base), report.resolved(found, base)
     n = new.count()
     return new, f"{n} new, {gone.count()} resolved against the baseline\n", bool(a.fail_on_regression and n)
 

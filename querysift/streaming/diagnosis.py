@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.enrich import enrich
+from ..plans import enrich
 from ..plans.pipeline import diagnose
 from ..sources.catalog import Catalog
 
@@ -45,11 +45,12 @@ def diagnose_stream(captures: DataFrame, folder: str, report: Callable[[DataFram
         log = spark.read.option("basePath", f"{folder}/log").parquet(*[f"{folder}/log/batch={n}" for n in numbers])
         mine = wanted.withColumnsRenamed({"scope_id": "s", "batch": "b"})
         rows = log.join(mine, F.col("scope_id").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")), "left_semi").drop("batch")
-        known = enrich(rows).persist()
+        kept: list[DataFrame] = []
         try:
-            diagnose(known, Catalog(spark)).write.mode("overwrite").parquet(at("findings"))
+            diagnose(enrich.known(rows, kept=kept), Catalog(spark)).write.mode("overwrite").parquet(at("findings"))
         finally:
-            known.unpersist()
+            for one in kept:
+                one.unpersist()
         if report:
             report(spark.read.parquet(at("findings")), number)
 

@@ -270,3 +270,16 @@ def test_replay_matches_a_plain_cache(spark):
                     order.remove(f)
             assert got[p, i] == want
     assert {"miss", "validate", "trusted", "demote", "poison"} <= set(got.values())
+
+
+def test_texts_are_analyzed_once_or_row_by_row(spark, log):
+    from querysift.plans.enrich import known
+
+    kept = []
+    few, many = known(log, kept=kept), known(log, most=0, kept=kept)
+    columns = sorted(few.columns)
+    assert columns == sorted(many.columns) == sorted(enrich(log).columns)
+    assert sorted(map(str, few.select(columns).collect())) == sorted(map(str, many.select(columns).collect())) == sorted(map(str, enrich(log).select(columns).collect()))
+    assert kept[1].count() == few.select("normalized_sql").distinct().count() and kept[3].count() == log.count()
+    for one in kept:
+        one.unpersist()

@@ -36,3 +36,9 @@ def test_tables_and_scores(spark):
     assert [r.t for r in rows.select(sql_text.tables(F.col("sql")).alias("t")).collect()] == [["public", "a"], ["a", "NOWAIT"]]
     joins = spark.createDataFrame([(n, "select x from a" + " join b on c" * n) for n in (3, 4)], "n int, sql string")
     assert {r.n: r.s for r in joins.select("n", sql_text.complexity(F.col("sql")).alias("s")).collect()} == {3: 6, 4: 8}
+
+
+def test_long_literals_and_classes_of_unicode(spark):
+    rows = [("SELECT '" + "x\\'" * 20_000 + "' , 5", "select ? , ?"), ("a  b  c\td e", "a b c d e"), ("x = ٥ AND y = é5 AND FALSE", "x = ? and y = é5 and ?"), ("%s5 1.5x xtrue True", "?? ?.5x xtrue ?")]
+    for got, want in _values(spark, rows, sql_text.normalize):
+        assert got == want

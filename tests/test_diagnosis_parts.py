@@ -272,6 +272,27 @@ def test_replay_matches_a_plain_cache(spark):
     assert {"miss", "validate", "trusted", "demote", "poison"} <= set(got.values())
 
 
+def test_baseline_document_is_one_json_text_in_lines(spark, tmp_path):
+    rows = [("n_plus_one", "warning", f"d{i % 3}\n,{{", None if i % 2 else "f.py", i % 2, "fix") for i in range(25)]
+    found = spark.createDataFrame(rows, "issue_type string, severity string, description string, file_path string, line_number int, fix_suggestion string")
+    lines = [r.document for r in report.baseline_document(found, block=2).collect()]
+    whole = json.loads("\n".join(lines))
+    assert len(lines) == 27 and whole["version"] == "1" and whole["issue_count"] == 25  # no line holds two issues
+    want = [dict(zip(("issue_type", "severity", "description", "file_path", "line", "fix_suggestion"), r)) for r in rows]
+    key = lambda d: [(v is not None, v) for v in d.values()]
+    assert whole["issues"] == sorted(want, key=key)
+    report.write_baseline(found, str(tmp_path / "base"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "base").glob("part-*")))
+    assert json.loads(text) == whole and report.read_baseline(spark, str(tmp_path / "base")).count() == 25
+    nothing = [r.document for r in report.baseline_document(found.where("false")).collect()]
+    assert json.loads("\n".join(nothing)) == {"version": "1", "issue_count": 0, "issues": []}
+    report.write_baseline(found.where("false"), str(tmp_path / "none"))
+    assert report.read_baseline(spark, str(tmp_path / "none")).count() == 0
+    other = tmp_path / "pretty.json"
+    other.write_text(json.dumps(whole, indent=2))
+    assert report.read_baseline(spark, str(other)).count() == 25
+
+
 def test_texts_are_analyzed_once_or_row_by_row(spark, log):
     from querysift.plans.enrich import known
 
